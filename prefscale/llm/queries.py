@@ -1,6 +1,8 @@
 """The registered query of each corpus operator, with production parameters over whole tables."""
 
-from . import decontaminate
+import public_tokenizers
+
+from . import decontaminate, packing
 
 ORACLE_SQL = {}
 
@@ -9,9 +11,13 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate}
+QUERIES = {"op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL["op8_decontaminate"] = decontaminate.ORACLE
