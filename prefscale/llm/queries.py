@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, packing
+from . import decontaminate, packing, pii
 
 ORACLE_SQL = {}
 
@@ -19,5 +19,10 @@ def op8_decontaminate(spark, sf_dir):
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
+def op10_pii(spark, sf_dir):
+    return pii.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL["op8_decontaminate"] = decontaminate.ORACLE
+ORACLE_SQL["op10_pii"] = pii.ORACLE
