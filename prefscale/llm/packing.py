@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +28,72 @@ from . import common as C
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers; beyond it, those not seen for longest go.
+CACHE_WORDS = 1_500_000
+
+_GAPLESS = np.ones(256, bool)
+_GAPLESS[[0x20, 0x0A]] = False
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit words.
+    """Ids of whole texts, a slice of many documents at a time.
 
-    The tokenizer never joins across a space or a newline, so that ids of the words between them can be remembered.
+    The tokenizer never joins across a space or a newline, so that each distinct word between them is encoded once
+    and its ids are remembered under a 64-bit hash, in arrays of a few bytes a word.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        self.tok, self.end, self.known = Tokenizer.from_file(tokenizer_path), np.uint32(end_id).tobytes(), {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for w, e in zip(words, self.tok.encode_batch(words, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words)) + self.end
-        except KeyError:
-            self.learn([w for w in set(words) if w not in self.known])
-            own = self.known
-            if any(w not in own for w in words):  # emptied meanwhile
-                self.learn(list(set(words)))
-            return b"".join(map(self.known.__getitem__, words)) + self.end
+        self.tok, self.end = Tokenizer.from_file(tokenizer_path), end_id
+        self.keys, self.at, self.n, self.seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.used, self.round = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """hashes are sorted and new."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + len(flat), np.uint32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(n) - n
+        self.used += len(flat)
+        to = np.searchsorted(self.keys, hashes)
+        self.keys, self.at, self.n = (np.insert(x, to, v) for x, v in ((self.keys, hashes), (self.at, at), (self.n, n)))
+        self.seen = np.insert(self.seen, to, self.round)
+
+    def _forget(self) -> None:
+        stay = self.seen > np.median(self.seen)
+        self.keys, n, at, self.seen = self.keys[stay], self.n[stay], self.at[stay], self.seen[stay]
+        self.pool = np.concatenate([self.pool[_ranges(at, n)], np.zeros(1 << 16, np.uint32)])
+        self.n, self.at, self.used = n, np.cumsum(n) - n, int(n.sum())
+
+    def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows with the end id after each, offsets by row)."""
+        self.round += 1
+        s, e, first = C.word_spans(buf, off, _GAPLESS)
+        own, index, inverse = np.unique(C.span_hash(C.prefix_hash(buf), s, e), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE_WORDS:
+            self._forget()
+        at = np.searchsorted(self.keys, own)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == own[known]
+        if not known.all():
+            raw, new = buf.tobytes(), index[~known]
+            self._learn(own[~known], [raw[a:b].decode() for a, b in zip(s[new].tolist(), e[new].tolist())])
+            at = np.searchsorted(self.keys, own)
+        self.seen[at] = self.round
+        n = self.n[at][inverse]
+        ids = self.pool[_ranges(self.at[at][inverse], n)]
+        ends = np.concatenate(([0], np.cumsum(n)))[first]
+        return np.insert(ids, ends[1:], np.uint32(self.end)), ends + np.arange(len(ends))
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... n[0] of them, then those of start[1], and so on."""
+    n = n.astype(np.int64)
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -90,14 +126,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path, end_id)
         for batch in batches:
-            for part in C.slices(batch, "text"):
+            for part in C.slices(batch, "text", 2 << 20):
                 out: list[list] = [[], [], [], [], [], []]
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = encode(text)
-                    n = len(ids) // 4
-                    for k, at in enumerate(range(0, n, capacity)):
-                        own = ids[4 * at : 4 * (at + capacity)]
-                        row = (doc, k, at, len(own) // 4, zlib.crc32(own), np.frombuffer(own, "<i4") if with_ids else None)
+                all_ids, ends = encode(*C.buffer_of(part.column("text")))
+                for doc, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    for k, at in enumerate(range(a, b, capacity)):
+                        own = all_ids[at : min(b, at + capacity)]
+                        row = (doc, k, at - a, len(own), zlib.crc32(own), own if with_ids else None)
                         for col, v in zip(out, row):
                             col.append(v)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]

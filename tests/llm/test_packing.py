@@ -66,13 +66,18 @@ def test_pieces_are_the_tokenizer_s(spark):
 
 
 def test_small_cache_gives_the_same(monkeypatch):
-    monkeypatch.setattr(P, "CACHE_WORDS", 3)
+    import pyarrow as pa
+    from prefscale.llm import common as C
+
     small, large = P.Encoder(PATH), P.Encoder(PATH)
-    for _, t in docs()[:12]:
-        monkeypatch.setattr(P, "CACHE_WORDS", 3)
-        a = small(t)
-        monkeypatch.setattr(P, "CACHE_WORDS", 10**6)
-        assert a == large(t)
+    for _ in range(2):
+        for _, t in docs():
+            rows = C.buffer_of(pa.array([t, "the x", t, None]))
+            monkeypatch.setattr(P, "CACHE_WORDS", 3)
+            a = small(*rows)
+            monkeypatch.setattr(P, "CACHE_WORDS", 10**6)
+            b = large(*rows)
+            assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
 
 
 def test_digest_fills_sequences_without_gaps(spark):
