@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, language_id, ngram_join, packing, pii
+from . import decontaminate, language_id, ngram_join, packing, pii, toxicity
 
 ORACLE_SQL = {}
 
@@ -11,6 +11,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -31,7 +35,7 @@ def op10_pii(spark, sf_dir):
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL["op8_decontaminate"] = decontaminate.ORACLE
 ORACLE_SQL["op10_pii"] = pii.ORACLE
 ORACLE_SQL["op5_ngram_join"] = ngram_join.ORACLE
