@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, language_id, ngram_join, packing, pii, toxicity
+from . import decontaminate, html_text, language_id, ngram_join, packing, pii, toxicity
 
 ORACLE_SQL = {}
 
@@ -23,6 +23,10 @@ def op5_ngram_join(spark, sf_dir):
     return ngram_join.classes(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op6_html_text(spark, sf_dir):
+    return html_text.digest(_table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark, sf_dir):
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_pii(spark, sf_dir):
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op6_html_text": op6_html_text, "op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL["op8_decontaminate"] = decontaminate.ORACLE
 ORACLE_SQL["op10_pii"] = pii.ORACLE
 ORACLE_SQL["op5_ngram_join"] = ngram_join.ORACLE
