@@ -4,7 +4,7 @@ Disguised words (digits and signs for letters, letters drawn out, letters set ap
 readings of such a word form a lattice: each sign may stand for itself or for letters, a run of one letter for one or
 two of it, a separator for nothing. A Viterbi search picks the likeliest path under a character trigram model of the
 corpus and the costs of the channel. The restored text is then scored by words and word beginnings that are
-significantly commoner in toxic documents, and the sum of their evidence is mapped to a probability.
+significantly commoner in toxic documents, and the log of their summed evidence is mapped to a probability.
 
 Everything is learned from a bounded sample of labelled rows: all of them up to ``max_rows``, beyond that a share
 chosen by a hash of doc_id. A null or empty text has no evidence and gets the score of such; repeated rows are judged
@@ -205,7 +205,7 @@ class Model:
         return self.__dict__ | {"known": {}}
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Sum of the weights of the distinct features of each row."""
+        """log(1 + the sum of the weights of the distinct features) of each row: the first sign of toxicity counts most."""
         out = np.zeros(len(column))
         if not len(self.keys):
             return out
@@ -217,7 +217,7 @@ class Model:
         if hit.any():
             both = np.unique(np.stack([row[hit], at[hit]], 1), axis=0)
             np.add.at(out, both[:, 0], self.weights[both[:, 1]])
-        return out
+        return np.log1p(out)
 
     def score(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.evidence(column) + self.bias))) if self.slope else np.zeros(len(column))
@@ -256,12 +256,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     df = df.agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("n0"))
     df = C.staged(df, "toxicity-features")
     kinds = df.count()
-    # Log-likelihood ratio against chance, at a level of 1/20 over all features together.
+    # Log-likelihood ratio against chance, at a level of one false feature over all together.
     share = n1 / (n1 + n0)
     tot, lift = F.col("n1") + F.col("n0"), (F.col("n1") + 0.5) / (n1 + 1) / ((F.col("n0") + 0.5) / (n0 + 1))
     part = lambda c, p: F.when(c > 0, c * F.log(c / (tot * p))).otherwise(0.0)
     ratio = 2 * (part(F.col("n1"), share) + part(F.col("n0"), max(1 - share, 1e-9)))
-    strong = df.where((lift > 3) & (ratio > 2 * math.log(20 * max(kinds, 1)))).select("key", F.log(lift).alias("w"), "n1")
+    strong = df.where((lift > 3) & (ratio > 2 * math.log(max(kinds, 2)))).select("key", F.log(lift).alias("w"), "n1")
     got = strong.orderBy(F.desc("n1"), "key").limit(200_000).toArrow()
     keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
