@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, html_text, language_id, ngram_join, packing, pii, toxicity
+from . import decontaminate, html_text, language_id, maxent_lm, ngram_join, packing, pii, toxicity
 
 ORACLE_SQL = {}
 
@@ -39,7 +39,11 @@ def op10_pii(spark, sf_dir):
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_html_text": op6_html_text, "op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
+def op9_maxent_lm(spark, sf_dir):
+    return maxent_lm.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_maxent_lm": op9_maxent_lm, "op6_html_text": op6_html_text, "op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL["op8_decontaminate"] = decontaminate.ORACLE
 ORACLE_SQL["op10_pii"] = pii.ORACLE
 ORACLE_SQL["op5_ngram_join"] = ngram_join.ORACLE
