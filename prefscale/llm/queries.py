@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, html_text, language_id, maxent_lm, ngram_join, packing, pii, toxicity
+from . import decontaminate, embedding_dedup, html_text, language_id, maxent_lm, ngram_join, packing, pii, toxicity
 
 ORACLE_SQL = {}
 
@@ -15,6 +15,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.classes(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +47,7 @@ def op9_maxent_lm(spark, sf_dir):
     return maxent_lm.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_maxent_lm": op9_maxent_lm, "op6_html_text": op6_html_text, "op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
+QUERIES = {"op3_embedding_dedup": op3_embedding_dedup, "op9_maxent_lm": op9_maxent_lm, "op6_html_text": op6_html_text, "op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
 ORACLE_SQL["op8_decontaminate"] = decontaminate.ORACLE
 ORACLE_SQL["op10_pii"] = pii.ORACLE
 ORACLE_SQL["op5_ngram_join"] = ngram_join.ORACLE
