@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from . import decontaminate, embedding_dedup, html_text, language_id, maxent_lm, ngram_join, packing, pii, toxicity
+from . import decontaminate, embedding_dedup, html_text, language_id, maxent_lm, ngram_join, packing, pii, suffix_dedup, toxicity
 
 ORACLE_SQL = {}
 
@@ -11,6 +11,10 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     return toxicity.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,18 @@ def op9_maxent_lm(spark, sf_dir):
     return maxent_lm.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_embedding_dedup": op3_embedding_dedup, "op9_maxent_lm": op9_maxent_lm, "op6_html_text": op6_html_text, "op2_toxicity": op2_toxicity, "op7_language_id": op7_language_id, "op5_ngram_join": op5_ngram_join, "op10_pii": op10_pii, "op4_best_fit_packing": op4_best_fit_packing, "op8_decontaminate": op8_decontaminate}
+QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_ngram_join": op5_ngram_join,
+    "op6_html_text": op6_html_text,
+    "op7_language_id": op7_language_id,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_maxent_lm": op9_maxent_lm,
+    "op10_pii": op10_pii,
+}
 ORACLE_SQL["op8_decontaminate"] = decontaminate.ORACLE
 ORACLE_SQL["op10_pii"] = pii.ORACLE
 ORACLE_SQL["op5_ngram_join"] = ngram_join.ORACLE
