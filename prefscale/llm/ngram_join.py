@@ -10,8 +10,10 @@ there are fewer). Two documents link when the Jaccard similarity of their sets r
 3. a first round verifies, for every vertex, the pair with one likely partner; most copies of a large group are then
    in one component, and pairs inside a component need no second look;
 4. in each bucket, a signature tree: documents by size, nodes with the OR of their bitmaps and their range of sizes. A
-   dual traversal drops pairs of nodes whose maximum possible overlap is too small, or that lie in one component; the
-   pairs of documents that remain are verified on whole sets.
+   dual traversal drops pairs of nodes whose maximum possible overlap is too small, or that are one class already. Of
+   the pairs that remain, those that join two classes of the bucket are kept: a forest, never all pairs of a group;
+5. the forests' components hold all pairs that may still link. In each, documents meet in pairs of blocks, a tree with
+   wide bitmaps proposes pairs, and whole sets decide; links that join two classes are kept.
 
 Documents without words or text have an empty set and link with nothing. Repeated rows are equal sets; rows that share
 a doc_id are one document for reachability; an empty table gives no rows.
@@ -32,8 +34,10 @@ from . import common as C
 from .components import components
 
 #: Shingles in more buckets than this, or than a millionth of all entries, come last in the order of shingles.
-HOT_BUCKETS = 1_000
+HOT_BUCKETS = 30
 LEAF = 32
+#: Documents of a cluster that a task compares with as many others.
+BLOCK = 512
 #: Pieces into which the partners of one likely centre are dealt.
 SALTS = 16
 
@@ -68,8 +72,9 @@ def prefix_of(h: np.ndarray, percent: int, hot: np.ndarray) -> np.ndarray:
     return h[:p]
 
 
-def bitmap_of(h: np.ndarray) -> bytes:
-    bits = max(64, 1 << (len(h) - 1).bit_length())
+def bitmap_of(h: np.ndarray, per: int = 1) -> bytes:
+    """A bit for each hash, in ``per`` to twice as many bits as there are hashes."""
+    bits = max(64, 1 << (per * len(h) - 1).bit_length())
     b = np.zeros(bits, np.uint8)
     b[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(b, bitorder="little").tobytes()
@@ -154,25 +159,44 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from t.filter(pa.array(keep)).to_batches()
 
 
+def bucket_forest(n: np.ndarray, comp: np.ndarray, bits: list[bytes], percent: int, linked=None) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) of a bucket in order of size that may link (of which ``linked`` holds, if given): those that
+    join two classes, comp being the classes so far. A tree for each width of bitmaps, with the larger documents that
+    its own may link with, folded to that width."""
+    out: list[tuple[int, int]] = []
+    comp = comp.copy()
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero((width >= w) & (n <= 100 * n[width == w].max() // percent))
+        small = int((width[own] == w).sum())
+        tree = SignatureTree(n[own], comp[own], [bits[k] for k in own], w)
+        for i, j in tree.pairs(percent):
+            keep = i < small
+            i, j = i[keep], j[keep]
+            while len(i):
+                apart = tree.comp[i] != tree.comp[j]
+                i, j = i[apart], j[apart]
+                if len(i):
+                    a, b = int(own[i[0]]), int(own[j[0]])
+                    i, j = i[1:], j[1:]
+                    if linked is None or linked(a, b):
+                        out.append((a, b))
+                        to, gone = comp[a], comp[b]
+                        comp[comp == gone] = to
+                        tree.comp[tree.comp == gone] = to
+    return out
+
+
 class SignatureTree:
     """Documents of a bucket in order of size; every node holds the OR of its bitmaps and ranges of what lies below."""
 
-    def __init__(self, n: np.ndarray, comp: np.ndarray, bits: list[bytes]):
-        width = min(map(len, bits))
-        width = max(width, min(max(map(len, bits)), 512))
+    def __init__(self, n: np.ndarray, comp: np.ndarray, bits: list[bytes], width: int):
         rows = np.zeros((len(n), width), np.uint8)
-        for i, b in enumerate(bits):
-            v = np.frombuffer(b, np.uint8)
-            if len(v) >= width:
-                rows[i] = np.bitwise_or.reduce(v.reshape(-1, width), axis=0)  # bit k of the wide one is bit k mod width
-            else:
-                rows[i] = np.tile(v, width // len(v))  # a hash's bit may be any of these: a superset
-        self.exact = np.array([len(b) >= width for b in bits])
+        for i, b in enumerate(bits):  # bit k of a wider bitmap is bit k mod width
+            rows[i] = np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0)
         self.bits, self.n, self.comp = rows.view(np.uint64), n, comp
         own = np.bitwise_count(self.bits).sum(1).astype(np.int64)
-        # Tokens that may hide behind bits shared within one document.
-        self.slack = np.where(self.exact, n - own, n)
-        self.own = own
+        self.slack = n - own  # tokens that hide behind a bit of another
         level = [(i, min(i + LEAF, len(n))) for i in range(0, len(n), LEAF)]
         self.levels = [self._nodes(level)]
         while len(level) > 1:
@@ -225,12 +249,13 @@ class SignatureTree:
         return -(-(a + b) * percent // (100 + percent))
 
     def _leaf(self, a0, a1, b0, b1, percent):
+        c = self.comp[a0]
+        if (self.comp[a0:a1] == c).all() and (self.comp[b0:b1] == c).all():
+            return
         n, m = self.n[a0:a1, None], self.n[None, b0:b1]
         least = self._overlap(n, m, percent)
         only_a = np.bitwise_count(self.bits[a0:a1, None] & ~self.bits[None, b0:b1]).sum(2).astype(np.int64)
         only_b = np.bitwise_count(self.bits[None, b0:b1] & ~self.bits[a0:a1, None]).sum(2).astype(np.int64)
-        only_a = np.where(self.exact[a0:a1, None], only_a, 0)
-        only_b = np.where(self.exact[None, b0:b1], only_b, 0)
         ok = (np.minimum(n - only_a, m - only_b) >= least) & (self.comp[a0:a1, None] != self.comp[None, b0:b1])
         i, j = np.nonzero(ok)
         i, j = i + a0, j + b0
@@ -240,60 +265,94 @@ class SignatureTree:
 
 
 def _traverse(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Forests of the buckets."""
     for t in _groups(batches, "token"):
         token, vid, comp = (t.column(c).to_numpy() for c in ("token", "vid", "comp"))
         n, bits = t.column("n").to_numpy().astype(np.int64), t.column("bits").to_pylist()
         head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        found: list[np.ndarray] = []
+        found: set[tuple[int, int]] = set()
         for a, b in zip(head.tolist(), [*head[1:].tolist(), len(token)]):
-            for i, j in SignatureTree(n[a:b], comp[a:b], bits[a:b]).pairs(percent):
-                found.append(np.stack([vid[a + i], vid[a + j]], 1))
-        if found:
-            p = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(p[:, 0]), "b": pa.array(p[:, 1])})
+            found.update(tuple(sorted((int(vid[a + i]), int(vid[a + j])))) for i, j in bucket_forest(n[a:b], comp[a:b], bits[a:b], percent))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 # ---------------------------------------------------------------- verification
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity; documents are fetched by id, one set a pair and a centre."""
+    """The pairs (a, b) whose sets reach the similarity. Texts travel, as they are smaller than sets of hashes: one for
+    each pair, and that of b once for each b and salt."""
     ends = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.join(ends, docs["doc_id"] == ends["_id"], "left_semi").select("doc_id", "text", F.xxhash64("text").alias("_x"))
-
-    def sets(batches):
-        for batch in batches:
-            for part in C.slices(batch, "text", 2 << 20):
-                got = shingle_sets(*C.buffer_of(part.column("text")), words)
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "set": pa.array([h.tobytes() for h in got], pa.binary())})
-
-    own = C.staged(texts.mapInArrow(sets, "doc_id long, set binary"), "ngram-sets")
+    own = docs.join(ends, docs["doc_id"] == ends["_id"], "left_semi").select("doc_id", "text")
+    own = C.staged(own, "ngram-texts")
     salt = F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")
-    leaves = pairs.withColumn("salt", salt).join(own, F.col("a") == F.col("doc_id")).select("b", "salt", "a", "set")
-    centres = pairs.select("b", salt.alias("salt")).distinct().join(own, F.col("b") == F.col("doc_id")).select("b", "salt", F.lit(None).cast("long").alias("a"), "set")
+    leaves = pairs.withColumn("salt", salt).join(own, F.col("a") == F.col("doc_id")).select("b", "salt", "a", "text")
+    centres = pairs.select("b", salt.alias("salt")).distinct().join(own, F.col("b") == F.col("doc_id")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
     both = leaves.union(centres).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def judge(batches):
         key, mine = None, []
         for batch in batches:
-            out = []
-            for b, s, a, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                h = np.frombuffer(raw, np.uint64)
-                if a is None:
-                    mine = mine if key == (b, s) else []
-                    key = (b, s)
-                    mine.append(h)
-                    continue
-                for m in mine if key == (b, s) else ():
-                    o = len(np.intersect1d(h, m, assume_unique=True))
-                    if o and 100 * o >= percent * (len(h) + len(m) - o):
-                        out.append((a, b))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for part in C.slices(batch, "text", 2 << 20):
+                out = []
+                sets = shingle_sets(*C.buffer_of(part.column("text")), words)
+                for b, s, a, h in zip(*(part.column(c).to_pylist() for c in ("b", "salt", "a")), sets):
+                    if a is None:
+                        mine = mine if key == (b, s) else []
+                        key = (b, s)
+                        mine.append(h)
+                        continue
+                    for m in mine if key == (b, s) else ():
+                        o = len(np.intersect1d(h, m, assume_unique=True))
+                        if o and 100 * o >= percent * (len(h) + len(m) - o):
+                            out.append((a, b))
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return C.staged(both.mapInArrow(judge, "a long, b long"), "ngram-links")
 
 
+def _decided(clusters: DataFrame, comp: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join classes, among documents (id) of one cluster (root). Members of a cluster lie in blocks by
+    a hash, and every two blocks meet, so that no task holds a cluster."""
+    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("root", "_root")
+    dealt = clusters.join(sizes, F.col("root") == F.col("_root")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(comp.select(F.col("id").alias("_c"), F.col("root").alias("comp")), F.col("id") == F.col("_c"), "left")
+    dealt = dealt.select(F.col("id").alias("vid"), "root", "blocks", "block", F.coalesce("comp", "id").alias("comp"))
+    met = dealt.join(docs, F.col("vid") == F.col("doc_id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("pair")
+    met = met.select(pair, "vid", "block", "comp", (F.col("block") == F.col("other")).alias("own"), "text")
+
+    def judge(batches):
+        for t in _groups(batches, "pair"):
+            vid, block, comp = (t.column(c).to_numpy() for c in ("vid", "block", "comp"))
+            own, pair = t.column("own").to_numpy(zero_copy_only=False), t.column("pair").to_numpy()
+            head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            out: list[tuple[int, int]] = []
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(pair)]):
+                part = pa.table({"text": t.column("text").slice(a, b - a)}).combine_chunks().to_batches()
+                sets = [h for p in part for q in C.slices(p, "text", 2 << 20) for h in shingle_sets(*C.buffer_of(q.column("text")), words)]
+                n = np.array([len(h) for h in sets])
+                order = np.argsort(n, kind="stable")
+                sets, one = [sets[k] for k in order], own[a]
+                v, c, where = (x[a:b][order] for x in (vid, comp, block))
+
+                def linked(i: int, j: int, sets=sets, where=where, one=one) -> bool:
+                    if not one and where[i] == where[j]:
+                        return False
+                    o = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    return o > 0 and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o)
+
+                some = n[order] > 0
+                first = int((~some).sum())
+                edges = bucket_forest(n[order][first:], c[first:], [bitmap_of(h, 16) for h in sets[first:]], percent, lambda i, j: linked(i + first, j + first)) if some.any() else []
+                out += [(int(v[i + first]), int(v[j + first])) for i, j in edges]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    dealt = met.repartition("pair").sortWithinPartitions("pair", "vid")
+    return C.staged(dealt.mapInArrow(judge, "a long, b long"), "ngram-links")
+
+
 # ---------------------------------------------------------------- operator
 
 
@@ -313,9 +372,11 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, hot_buckets: int
     sorted_ = entries.repartition("token").sortWithinPartitions("token", "n", "vid")
     likely = C.staged(sorted_.mapInArrow(lambda it: _likely(it, percent, least_hot), "vid long, centre long, n long"), "ngram-likely")
     # At most total / least_hot, that is a million, of eight bytes.
-    hot = np.sort(np.array([r.vid for r in likely.where("centre is null").select("vid").collect()], np.int64).view(np.uint64))
+    hot = np.sort(likely.where("centre is null").select("vid").toArrow().column("vid").to_numpy().view(np.uint64))
     votes = likely.where("centre is not null").groupBy("vid", "centre").agg(F.sum("n").alias("n"))
-    pairs = votes.groupBy("vid").agg(F.max(F.struct("n", "centre")).alias("m")).select(F.col("vid").alias("a"), F.col("m.centre").alias("b"))
+    best = votes.groupBy("vid").agg(F.max(F.struct("n", "centre")).alias("m"))
+    sizes = first.select("doc_id", F.size("prefix").alias("p"))
+    pairs = best.join(sizes, F.col("vid") == F.col("doc_id")).where("2 * m.n >= p").select(F.col("vid").alias("a"), F.col("m.centre").alias("b"))
     links = _verified(C.staged(pairs, "ngram-pairs"), docs, words, percent)
     comp = components(links, "ngram-first")
     # round 2: all other pairs
@@ -330,8 +391,12 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, hot_buckets: int
     mixed = entries.mapInArrow(_mixed, "token long, vid long, sig binary, comp long")
     full = mixed.join(vertex.select("vid", "sig", "n", "bits"), ["vid", "sig"]).select("token", "vid", "n", "comp", "bits")
     full = full.repartition("token").sortWithinPartitions("token", "n", "vid")
-    pairs = C.staged(full.mapInArrow(lambda it: _traverse(it, percent), "a long, b long").distinct(), "ngram-pairs")
-    links = links.union(_verified(pairs, docs, words, percent))
+    forest = C.staged(full.mapInArrow(lambda it: _traverse(it, percent), "a long, b long"), "ngram-forest")
+    # A pair of the forest stands for all pairs of its two classes, so that classes are in clusters as a whole.
+    clusters = components(forest.union(links), "ngram-clusters")
+    open_ = clusters.join(forest.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("root").distinct()
+    clusters = C.staged(clusters.join(open_, "root", "left_semi").select("id", "root"), "ngram-clusters")
+    links = links.union(_decided(clusters, comp, docs, words, percent))
     comp = components(links, "ngram-second")
     out = sketch.select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles")).join(sets, "sig", "left")
     out = out.join(comp, F.col("vid") == F.col("id"), "left")

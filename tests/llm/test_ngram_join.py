@@ -56,7 +56,8 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("seed,k,percent,hot", [(1, 3, 90, 1000), (2, 3, 90, 5), (3, 5, 80, 3), (4, 1, 60, 4)])
-def test_classes_are_brute_force(spark, seed, k, percent, hot):
+def test_classes_are_brute_force(spark, monkeypatch, seed, k, percent, hot):
+    monkeypatch.setattr(J, "BLOCK", 16)
     docs = corpus(seed)
     df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, n int")
     got = sorted(map(tuple, J.classes(df, k, percent, hot).collect()))
@@ -74,13 +75,16 @@ def test_tree_drops_no_pair_that_links():
             s = np.unique(r.choice(pool, r.choice([1, 5, 40, 700])))
         sets.append(s)
     sets.sort(key=len)
-    tree = J.SignatureTree(np.array([len(s) for s in sets]), np.arange(len(sets)), [J.bitmap_of(s) for s in sets])
-    kept = {(int(a), int(b)) for i, j in tree.pairs(80, chunk=7) for a, b in zip(i, j)}
+    bits, n = [J.bitmap_of(s) for s in sets], np.array([len(s) for s in sets])
+    links, seen = set(), []
     for i in range(len(sets)):
         for j in range(i + 1, len(sets)):
             o = len(np.intersect1d(sets[i], sets[j]))
             if 100 * o >= 80 * (len(sets[i]) + len(sets[j]) - o):
-                assert (i, j) in kept
+                links.add((i, j))
+    forest = J.bucket_forest(n, np.arange(len(sets)), bits, 80, lambda i, j: seen.append((i, j)) or (min(i, j), max(i, j)) in links)
+    want, got = union_find(range(len(sets)), links), union_find(range(len(sets)), forest)
+    assert got == want and len(forest) == len(sets) - len(set(want.values())) and len(seen) < len(sets) ** 2 / 8
 
 
 def test_components(spark):
