@@ -7,11 +7,13 @@ earlier in the same one. Strings are judged on the input, overlaps count, and no
    an anchor, so that equal strings hold equal anchors. An anchor's context is all that any such string around it can
    cover. Anchors are sorted by hash and context; of equal contexts all but the first are repeats as a whole.
 2. Distinct contexts of equal anchors may still share strings. They are cut out of the documents and meet by anchor.
-   There they are dealt into shards; each shard's suffixes are sorted once, which gives its Burrows-Wheeler transform.
-   The transforms are merged by iterative interleave refinement: the interleave that sorts suffixes by h bytes and the
-   preceding bytes give that for h + 1, until blocks agree on ``length`` bytes. The depth at which a block boundary
-   appears is the common prefix of its neighbours; blocks that remain are the repeated intervals. No suffix of the
-   whole is sorted again.
+   There they are dealt into shards. Each shard sorts the suffixes that start at its anchors, which gives its part of a
+   Burrows-Wheeler transform: the preceding bytes in that order. The shards are merged, and the interleave is refined
+   byte by byte: the merged order of suffixes and the bytes before them give, by one stable counting step, the order of
+   the suffixes that start a byte earlier, and the common prefixes of new neighbours are one more than the least of
+   those between them before. Intervals of common prefixes of ``length`` bytes are the repeated strings. After the
+   shards' own, no suffix is sorted again. Every string that matters starts at an anchor or at most 68 bytes before, so
+   that many refinements are enough, and one suffix of a context takes part in each.
 3. Covered ranges of each document are united and cut.
 
 Rows that share a doc_id are told apart by a hash of their text; equal rows are one document. A null or empty text has
@@ -32,10 +34,9 @@ from . import common as C
 
 LENGTH = 100
 ANCHOR = 32
-#: Bytes of contexts whose transforms are merged at once, unless one anchor has more.
+#: Bytes of contexts that are merged at once, unless one anchor has more.
 MERGE_BYTES = 4 << 20
 SHARDS = 4
-TERM = 255  # no byte of UTF-8
 
 
 # ---------------------------------------------------------------- anchors
@@ -123,86 +124,88 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """Suffixes of some strings in order, a terminator after each; terminators sort first, by string."""
-
-    def __init__(self, strings: list[bytes]):
-        self.text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
-        n, ends = len(self.text), np.flatnonzero(self.text == TERM)
-        self.first = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else np.zeros(0, np.int64)
-        rank = self.text.astype(np.int64) + len(ends)
-        rank[ends] = np.arange(len(ends))
-        order, h = np.argsort(rank, kind="stable"), 1
-        while True:
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - h)] = rank[h:]
-            key = rank * np.int64(n + 257) + after
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            new = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64)))) if n else key
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if not n or new[-1] == n - 1:
-                break
-            h *= 2
-        self.order = order
-        before = self.text[order - 1]
-        starts = np.zeros(n, bool)
-        starts[self.first] = True
-        #: The byte before each suffix, in order; TERM where the suffix is a whole string.
-        self.bwt = np.where(starts[order], TERM, before).astype(np.uint8)
-        self.terms = len(ends)
-
-
-def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard by place, block by place) of the merged order of all suffixes: suffixes of one block agree on ``depth``
-    bytes, neighbours of different blocks don't."""
-    terms = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.terms for s in shards])
-    z = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
-    block, m = np.zeros(len(z), np.int32), len(terms)
-    sym = np.empty(len(z), np.uint8)
-    for _ in range(depth):
-        for k, s in enumerate(shards):
-            sym[z == k] = s.bwt
-        at = np.flatnonzero(sym != TERM)
-        at = at[np.argsort(sym[at], kind="stable")]
-        c, b = sym[at], block[at]
-        edge = np.empty(len(z), bool)
-        edge[:m] = True
-        if len(at):
-            edge[m] = True
-            edge[m + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-        z = np.concatenate([terms, z[at]])
-        refined = np.cumsum(edge, dtype=np.int32) - 1
-        # Terminators are told apart from the start, so that no string runs into the next.
-        block = refined
-    return z, block
-
-
-def repeated(strings: list[bytes], keys: list[tuple[int, int]], depth: int, shards: int = SHARDS) -> list[list[tuple[int, int]]]:
-    """For each string, whose first byte stands at keys = (document, position): ranges [lo, hi) of it that lie in
-    strings of ``depth`` bytes which start earlier in another of the strings, or in itself."""
-    per = -(-len(strings) // shards)
-    parts = [Shard(strings[a : a + per]) for a in range(0, len(strings), per)]
-    z, block = merge(parts, depth)
-    text_of, pos_of = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    for k, s in enumerate(parts):
-        owner = np.searchsorted(s.first, s.order, side="right") - 1
-        own = z == k
-        text_of[own], pos_of[own] = owner + k * per, s.order - s.first[owner]
-    n = np.array([len(s) for s in strings])
-    whole = pos_of + depth <= n[text_of]  # suffixes that have depth bytes
-    size = np.bincount(block[whole], minlength=int(block[-1]) + 1)
-    use = np.flatnonzero(whole & (size[block] > 1))
+    """Contexts of a shard as fixed-width rows of their bytes from the anchor on, in order."""
+
+    def __init__(self, right: np.ndarray):
+        self.order = np.argsort(right, kind="stable")
+        self.right = right[self.order]
+
+
+def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, place in the shard, common prefix with the one before) along the merged order of the shards' suffixes."""
+    z, at = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = shards[0].right[:0]
+    for k, s in enumerate(shards):
+        to = np.searchsorted(rows, s.right, side="right")  # an interleave: sorted into sorted
+        rows, z, at = np.insert(rows, to, s.right), np.insert(z, to, k), np.insert(at, to, np.arange(len(s.right)))
+    width = rows.dtype.itemsize
+    raw = np.frombuffer(rows.tobytes(), np.uint8).reshape(len(rows), width)
+    lcp = np.zeros(len(rows), np.int32)
+    if len(rows) > 1:
+        differ = raw[1:] != raw[:-1]
+        lcp[1:] = np.where(differ.any(1), differ.argmax(1), width)
+    return z, at, lcp
+
+
+def refine(order: np.ndarray, lcp: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes that start one byte earlier, and their common prefixes. before: that byte for each
+    place of the order, -1 where the text starts here."""
+    at = np.flatnonzero(before >= 0)
+    sym = before[at].astype(np.uint8)
+    by = np.argsort(sym, kind="stable")
+    at, sym = at[by], sym[by]
+    new = np.zeros(len(at), np.int32)
+    same = np.flatnonzero(sym[1:] == sym[:-1]) + 1
+    if len(same):
+        ends = np.stack([at[same - 1] + 1, at[same] + 1], 1).ravel()
+        least = np.minimum.reduceat(np.append(lcp, 0), ends)[::2]
+        new[same] = least + 1
+    return order[at], new
+
+
+def repeated(contexts: list[bytes], left: list[int], keys: list[tuple[int, int]], depth: int, anchor: int, shards: int = SHARDS) -> list[list[tuple[int, int]]]:
+    """For each context, whose anchor follows ``left`` bytes and whose first byte stands at keys = (document, position):
+    ranges [lo, hi) of it that lie in strings of ``depth`` bytes around the anchor which start earlier elsewhere."""
+    n = len(contexts)
+    length, left_ = np.array([len(c) for c in contexts]), np.array(left)
     doc, at = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
-    d, p, b = doc[text_of[use]], at[text_of[use]] + pos_of[use], block[use]
-    order = np.lexsort((p, d, b))
-    use, d, p, b = use[order], d[order], p[order], b[order]
-    head = np.maximum.accumulate(np.where(np.concatenate(([True], b[1:] != b[:-1])), np.arange(len(b)), 0)) if len(b) else b
-    later = use[(d != d[head]) | (p != p[head])]
-    out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    order = np.lexsort((pos_of[later], text_of[later]))
-    for t, q in zip(text_of[later][order].tolist(), pos_of[later][order].tolist()):
-        own = out[t]
+    buf = np.frombuffer(b"".join(contexts), np.uint8)
+    start = np.cumsum(length) - length
+    # A byte that no text holds fills up what is shorter; the number of true bytes bounds common prefixes.
+    col = left_[:, None] + np.arange(depth)
+    right = np.where(col < length[:, None], buf[np.minimum(start[:, None] + col, max(len(buf) - 1, 0))], 255).astype(np.uint8)
+    right = np.ascontiguousarray(right).view(f"S{depth}").ravel() if n else np.zeros(0, f"S{depth}")
+    per = -(-n // shards)
+    parts = [Shard(right[a : a + per]) for a in range(0, n, per)]
+    z, place, lcp = merge(parts)
+    order = np.zeros(n, np.int64)
+    for k, part in enumerate(parts):
+        own = z == k
+        order[own] = part.order[place[own]] + k * per
+    lcp[1:] = np.minimum(lcp[1:], np.minimum((length - left_)[order[1:]], (length - left_)[order[:-1]]))
+    gone = np.zeros((n, depth - anchor + 1), bool)
+    for t in range(depth - anchor + 1):
+        if len(order) < 2:
+            break
+        edge = lcp < depth
+        edge[0] = True
+        block = np.cumsum(edge) - 1
+        use = np.flatnonzero(np.bincount(block)[block] > 1)
+        if len(use):
+            i, b = order[use], block[use]
+            d, p = doc[i], at[i] + left_[i] - t
+            by = np.lexsort((p, d, b))
+            i, d, p, b = i[by], d[by], p[by], b[by]
+            head = np.maximum.accumulate(np.where(np.concatenate(([True], b[1:] != b[:-1])), np.arange(len(b)), 0))
+            gone[i[(d != d[head]) | (p != p[head])], t] = True
+        if t < depth - anchor:
+            q = left_[order] - t - 1
+            before = np.where(q >= 0, buf[start[order] + np.maximum(q, 0)].astype(np.int16), np.int16(-1))
+            order, lcp = refine(order, lcp, before)
+    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    i, t = np.nonzero(gone[:, ::-1])
+    for c, q in zip(i.tolist(), (left_[i] - (depth - anchor) + t).tolist()):
+        own = out[c]
         if own and own[-1][1] >= q:
             own[-1] = (own[-1][0], q + depth)
         else:
@@ -210,12 +213,12 @@ def repeated(strings: list[bytes], keys: list[tuple[int, int]], depth: int, shar
     return out
 
 
-def _merged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Covered ranges from contexts (fp, doc_id, at, ctx) sorted by fp; at is that of the context's first byte."""
-    held: list[tuple[int, int, int, bytes]] = []
+def _merged(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Covered ranges from contexts (fp, doc_id, at, left, ctx) sorted by fp; at is that of the context's first byte."""
+    held: list[tuple[int, int, int, int, bytes]] = []
 
     def out() -> pa.RecordBatch:
-        got = repeated([r[3] for r in held], [(r[1], r[2]) for r in held], length)
+        got = repeated([r[4] for r in held], [r[3] for r in held], [(r[1], r[2]) for r in held], length, anchor)
         rows = [(r[1], (r[2] >> 32) << 32 | ((r[2] & 0xFFFFFFFF) + lo), (r[2] & 0xFFFFFFFF) + hi) for r, own in zip(held, got) for lo, hi in own]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "at", "to"])
@@ -227,7 +230,7 @@ def _merged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
                 yield out()
                 size = 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     if held:
         yield out()
 
@@ -247,20 +250,20 @@ def _covered(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, Data
     def cut(batches):
         for batch in batches:
             for part in C.slices(batch, "text"):
-                out: list[list] = [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 raw = part.column("text").cast(pa.binary()).to_pylist() if part.num_rows else []
                 for doc, text, x, probes_ in zip(part.column("doc_id").to_pylist(), raw, part.column("x").to_pylist(), part.column("probes").to_pylist()):
                     for q in probes_:
                         at, pos = q["at"], q["at"] & 0xFFFFFFFF
                         if at >> 32 == x:
                             lo = max(0, pos - left)
-                            for col, v in zip(out, (q["fp"], doc, at - pos + lo, text[lo : pos + length])):
+                            for col, v in zip(out, (q["fp"], doc, at - pos + lo, pos - lo, text[lo : pos + length])):
                                 col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["fp", "doc_id", "at", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["fp", "doc_id", "at", "left", "ctx"])
 
-    contexts = dealt.join(probes, "doc_id").mapInArrow(cut, "fp long, doc_id long, at long, ctx binary")
+    contexts = dealt.join(probes, "doc_id").mapInArrow(cut, "fp long, doc_id long, at long, left int, ctx binary")
     contexts = contexts.repartition("fp").sortWithinPartitions("fp", "doc_id", "at")
-    merged = contexts.mapInArrow(lambda it: _merged(it, length), "doc_id long, at long, to long")
+    merged = contexts.mapInArrow(lambda it: _merged(it, length, anchor), "doc_id long, at long, to long")
     pos = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     whole = marks.where("fp is null").select("doc_id", (F.col("at") - F.least(pos, F.lit(left))).alias("at"), (pos + length).alias("to"))
     both = merged.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("ranges"))

@@ -51,23 +51,20 @@ def test_digest_is_brute_force(spark, monkeypatch, seed, merge):
     assert sorted(map(tuple, S.digest(df).collect())) == brute(docs)
 
 
-def test_merge_is_the_order_of_all_suffixes():
-    r = random.Random(4)
-    strings = ["".join(r.choice("ab") for _ in range(r.randint(0, 30))).encode() for _ in range(23)]
-    for shards in (1, 2, 5):
-        per = -(-len(strings) // shards)
-        parts = [S.Shard(strings[a : a + per]) for a in range(0, len(strings), per)]
-        z, block = S.merge(parts, 6)
-        seen, got = [0] * len(parts), []
-        for k in z.tolist():
-            p = parts[k]
-            at = p.order[seen[k]]
-            got.append(bytes(p.text[at : np.flatnonzero(p.text[at:] == 255)[0] + at]))
-            seen[k] += 1
-        assert [g[:6] for g in got] == sorted(g[:6] for g in got)
-        for i in range(1, len(got)):
-            same = len(got[i]) >= 6 and got[i][:6] == got[i - 1][:6]
-            assert (block[i] == block[i - 1]) == same
+def test_refined_merge_is_the_order_of_suffixes():
+    r = np.random.default_rng(4)
+    text = r.integers(97, 99, (40, 30)).astype(np.uint8)
+    right = np.ascontiguousarray(text[:, 12:]).view("S18").ravel()
+    for per in (40, 20, 7):
+        parts = [S.Shard(right[a : a + per]) for a in range(0, 40, per)]
+        z, place, lcp = S.merge(parts)
+        order = np.array([parts[k].order[p] + k * per for k, p in zip(z, place)])
+        for t in range(12):
+            rows = [text[i, 12 - t :].tobytes() for i in order]
+            assert rows == sorted(rows)
+            for a, b, n in zip(rows, rows[1:], lcp[1:]):
+                assert a[:n] == b[:n] and (n == len(a) or a[n] != b[n])
+            order, lcp = S.refine(order, lcp, text[order, 11 - t].astype(np.int16))
 
 
 def test_anchors_hit_every_window():
