@@ -51,7 +51,7 @@ class RewardModel:
         self.pipeline = Pipeline(stages=[RegexTokenizer(inputCol="_text", outputCol="_w", pattern=r"\s+"), HashingTF(inputCol="_w", outputCol="_tf", numFeatures=self.features), IDF(inputCol="_tf", outputCol="_f")]).fit(texts)
         both = self._vectors(self._vectors(pairs, "text_w", "a"), "text_l", "b")
         # Either order of a pair is one example, so that the model has no bias to learn.
-        diff = both.select(F.explode(F.array(F.struct(F.zip_with("a", "b", lambda x, y: x - y).alias("d"), F.lit(1.0).alias("label")), F.struct(F.zip_with("b", "a", lambda x, y: x - y), F.lit(0.0)))).alias("x")).select(array_to_vector("x.d").alias("features"), "x.label")
+        diff = both.select(F.explode(F.array(F.struct(F.zip_with("a", "b", lambda x, y: x - y).alias("d"), F.lit(1.0).alias("label")), F.struct(F.zip_with("b", "a", lambda x, y: x - y).alias("d"), F.lit(0.0).alias("label")))).alias("x")).select(array_to_vector("x.d").alias("features"), "x.label")
         self.model = LogisticRegression(fitIntercept=False, regParam=self.penalty, maxIter=50).fit(diff)
         return self
 
