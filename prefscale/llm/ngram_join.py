@@ -36,6 +36,8 @@ from .components import components
 #: Shingles in more buckets than this, or than a millionth of all entries, come last in the order of shingles.
 HOT_BUCKETS = 30
 LEAF = 32
+#: Bytes of bitmaps that a tree compares at once.
+CHUNK_BYTES = 4 << 20
 #: Documents of a cluster that a task compares with as many others.
 BLOCK = 512
 #: Pieces into which the partners of one likely centre are dealt.
@@ -87,7 +89,7 @@ def _sketches(docs: DataFrame, words: int, percent: int, hot=None, bitmaps: bool
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = hot.value if hot is not None else np.zeros(0, np.uint64)
         for batch in batches:
-            for part in C.slices(batch, "text", 2 << 20):
+            for part in C.slices(batch, "text", 1 << 20):
                 sets = shingle_sets(*C.buffer_of(part.column("text")), words)
                 cols = {
                     "doc_id": part.column("doc_id"),
@@ -196,6 +198,7 @@ class SignatureTree:
             rows[i] = np.bitwise_or.reduce(np.frombuffer(b, np.uint8).reshape(-1, width), axis=0)
         self.bits, self.n, self.comp = rows.view(np.uint64), n, comp
         own = np.bitwise_count(self.bits).sum(1).astype(np.int64)
+        self.own = own
         self.slack = n - own  # tokens that hide behind a bit of another
         level = [(i, min(i + LEAF, len(n))) for i in range(0, len(n), LEAF)]
         self.levels = [self._nodes(level)]
@@ -216,8 +219,10 @@ class SignatureTree:
             "c1": np.maximum.reduceat(self.comp, s),
         }
 
-    def pairs(self, percent: int, chunk: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i < j) of different components that may link. Depth first over chunks of node pairs: bounded memory."""
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i < j) of different components that may link. Depth first over chunks of node pairs, the smaller the
+        wider the bitmaps are: bounded memory."""
+        chunk = max(16, CHUNK_BYTES // (8 * self.bits.shape[1]))
         todo = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while todo:
             level, x, y = todo.pop()
@@ -252,16 +257,18 @@ class SignatureTree:
         c = self.comp[a0]
         if (self.comp[a0:a1] == c).all() and (self.comp[b0:b1] == c).all():
             return
-        n, m = self.n[a0:a1, None], self.n[None, b0:b1]
-        least = self._overlap(n, m, percent)
-        only_a = np.bitwise_count(self.bits[a0:a1, None] & ~self.bits[None, b0:b1]).sum(2).astype(np.int64)
-        only_b = np.bitwise_count(self.bits[None, b0:b1] & ~self.bits[a0:a1, None]).sum(2).astype(np.int64)
-        ok = (np.minimum(n - only_a, m - only_b) >= least) & (self.comp[a0:a1, None] != self.comp[None, b0:b1])
-        i, j = np.nonzero(ok)
-        i, j = i + a0, j + b0
-        up = i < j
-        if up.any():
-            yield i[up], j[up]
+        rows = max(1, CHUNK_BYTES // (8 * self.bits.shape[1] * LEAF))
+        for lo in range(a0, a1, rows):
+            hi = min(a1, lo + rows)
+            n, m = self.n[lo:hi, None], self.n[None, b0:b1]
+            both = np.bitwise_count(self.bits[lo:hi, None] & self.bits[None, b0:b1]).sum(2, dtype=np.int64)
+            only_a, only_b = self.own[lo:hi, None] - both, self.own[None, b0:b1] - both
+            ok = (np.minimum(n - only_a, m - only_b) >= self._overlap(n, m, percent)) & (self.comp[lo:hi, None] != self.comp[None, b0:b1])
+            i, j = np.nonzero(ok)
+            i, j = i + lo, j + b0
+            up = i < j
+            if up.any():
+                yield i[up], j[up]
 
 
 def _traverse(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -293,7 +300,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     def judge(batches):
         key, mine = None, []
         for batch in batches:
-            for part in C.slices(batch, "text", 2 << 20):
+            for part in C.slices(batch, "text", 1 << 20):
                 out = []
                 sets = shingle_sets(*C.buffer_of(part.column("text")), words)
                 for b, s, a, h in zip(*(part.column(c).to_pylist() for c in ("b", "salt", "a")), sets):
@@ -331,7 +338,7 @@ def _decided(clusters: DataFrame, comp: DataFrame, docs: DataFrame, words: int,
             out: list[tuple[int, int]] = []
             for a, b in zip(head.tolist(), [*head[1:].tolist(), len(pair)]):
                 part = pa.table({"text": t.column("text").slice(a, b - a)}).combine_chunks().to_batches()
-                sets = [h for p in part for q in C.slices(p, "text", 2 << 20) for h in shingle_sets(*C.buffer_of(q.column("text")), words)]
+                sets = [h for p in part for q in C.slices(p, "text", 1 << 20) for h in shingle_sets(*C.buffer_of(q.column("text")), words)]
                 n = np.array([len(h) for h in sets])
                 order = np.argsort(n, kind="stable")
                 sets, one = [sets[k] for k in order], own[a]

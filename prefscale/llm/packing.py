@@ -29,7 +29,7 @@ from . import common as C
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it, those not seen for longest go.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 600_000
 
 _GAPLESS = np.ones(256, bool)
 _GAPLESS[[0x20, 0x0A]] = False
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path, end_id)
         for batch in batches:
-            for part in C.slices(batch, "text", 2 << 20):
+            for part in C.slices(batch, "text", 1 << 20):
                 out: list[list] = [[], [], [], [], [], []]
                 all_ids, ends = encode(*C.buffer_of(part.column("text")))
                 for doc, a, b in zip(part.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):

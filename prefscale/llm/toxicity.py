@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     def found(batches):
         cache: dict[str, str] = {}
         for batch in batches:
-            for part in C.slices(batch, "text", 8 << 20):
+            for part in C.slices(batch, "text", 1 << 20):
                 row, key = features(*restore(part.column("text"), shared.value.chars, cache))
                 toxic = part.column("toxic").to_numpy()[row]
                 for y in (0, 1):
@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
     def weighed(batches):
         for batch in batches:
-            for part in C.slices(batch, "text", 8 << 20):
+            for part in C.slices(batch, "text", 1 << 20):
                 x = np.round(shared.value.evidence(part.column("text")), 2)
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x), "y": part.column("toxic")})
 
@@ -299,18 +299,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float
 
 
 def judged(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
-    """docs with the score of each text; other columns pass unread."""
+    """docs with the score of each text. Only texts go to the workers, and only scores come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.drop(into).withColumn(into, F.lit(0.0))
-    names = out.columns
 
-    def judge(batches):
-        for batch in batches:
-            for part in C.slices(batch, "text", 2 << 20):
-                cols = [part.column(c) for c in names[:-1]]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(shared.value.score(part.column("text")))], names=names)
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(shared.value.score(p.column(0)) for p in C.slices(batch, "text", 1 << 20))]))
 
-    return out.mapInArrow(judge, out.schema)
+    return docs.withColumn(into, score(F.col("text")))
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
