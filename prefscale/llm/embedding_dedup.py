@@ -8,7 +8,9 @@
 3. NN-descent: for some rounds, each vertex introduces its neighbours (those it points to and those that point to it,
    a bounded draw of both) to each other, and each keeps its nearest; rounds end when few lists change.
 4. Edges of cosine >= threshold, in double precision, make components. A list whose last entry is such an edge is
-   saturated: it is enlarged to all of its component, block by block, which counts links exactly without listing them.
+   saturated and may leave links out: saturated vertices meet those of other components in new cells, until no two
+   components meet. Then each list is enlarged to all of its component, block by block, which counts links exactly
+   without listing them.
 5. The audit: links of a bounded draw of vertices are counted by brute force, in blocks, and compared. While recall is
    below ``recall``, another set of tables is drawn and joins the graph.
 
@@ -91,14 +93,17 @@ def _edges(a, b, s) -> pa.RecordBatch:
 _EDGE = "a long, b long, s double"
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, k: int):
-    """Directed edges from each to its k nearest of the group."""
+def _nearest(ids: np.ndarray, x: np.ndarray, k: int, root: np.ndarray | None = None):
+    """Directed edges from each to its k nearest of the group; with roots, to those of other components (a similarity
+    of -2 stands for none)."""
     n = len(ids)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     k = min(k, n - 1)
     s = x @ x.T
     np.fill_diagonal(s, -2)
+    if root is not None:
+        s[root[:, None] == root] = -2
     top = np.argpartition(s, n - k, axis=1)[:, n - k :]
     return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, 1).ravel()
 
@@ -116,8 +121,9 @@ def _split(rows: np.ndarray, x: np.ndarray, rng) -> Iterator[np.ndarray]:
     yield from _split(rows[order[half:]], x, rng)
 
 
-def _draw(verts: DataFrame, n: int, dim: int, seed: int, tables: int, k: int) -> DataFrame:
-    """Edges of a set of tables of cells."""
+def _draw(verts: DataFrame, n: int, dim: int, seed: int, tables: int, k: int, floor: float | None = None) -> DataFrame:
+    """Edges of a set of tables of cells; with a floor, those at or above it between vertices of different ``root``."""
+    names = ["id", "u"] if floor is None else ["id", "u", "root"]
     bits = max(0, min(24, int(np.ceil(np.log2(max(n, 1) / CELL)))))
     planes = np.random.default_rng(seed).normal(size=(tables, max(bits, 1), dim))
 
@@ -126,17 +132,22 @@ def _draw(verts: DataFrame, n: int, dim: int, seed: int, tables: int, k: int) ->
             x = _matrix(batch.column(1))
             for t in range(tables):
                 cell = ((x @ planes[t].T > 0) @ (1 << np.arange(planes.shape[1]))).astype(np.int64) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(cell * tables + t), batch.column(0), batch.column(1)], names=["cell", "id", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell * tables + t), *batch.columns], names=["cell", *names])
 
     def near(batches):
         rng = np.random.default_rng(seed + 1)
         for table in _whole(batches, "cell"):
             ids, x = table.column("id").to_numpy(), _matrix(table.column("u").combine_chunks())
+            root = None if floor is None else table.column("root").to_numpy()
             for a, b in _runs(table.column("cell").to_numpy()):
                 for rows in _split(np.arange(a, b), x, rng):
-                    yield _edges(*_nearest(ids[rows], x[rows], k))
+                    if root is None:
+                        yield _edges(*_nearest(ids[rows], x[rows], k))
+                    elif (root[rows] != root[a]).any():
+                        own, other, s = _nearest(ids[rows], x[rows], k, root[rows])
+                        yield _edges(own[s >= floor], other[s >= floor], s[s >= floor])
 
-    cells = verts.mapInArrow(code, "cell long, id long, u binary").repartition("cell").sortWithinPartitions("cell", "id")
+    cells = verts.select(*names).mapInArrow(code, "cell long, id long, u binary" + ("" if floor is None else ", root long")).repartition("cell").sortWithinPartitions("cell", "id")
     return cells.mapInArrow(near, _EDGE)
 
 
@@ -187,6 +198,24 @@ def neighbour_graph(verts: DataFrame, n: int, dim: int, seed: int, k: int = NEIG
     return graph
 
 
+def _bridged(verts: DataFrame, links: DataFrame, members: DataFrame, dim: int, seed: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, members) joined over the pairs that saturated lists leave out. A link that is in neither list of its ends
+    has two saturated ends. Cells of saturated vertices are drawn anew, in which each sees only vertices of other
+    components, so that its own can't fill its list; that goes on until no two components meet."""
+    while True:
+        full = links.distinct().groupBy("a").count().where(F.col("count") >= NEIGHBOURS).select(F.col("a").alias("id"))
+        left = C.staged(verts.join(full, "id", "left_semi").join(members, "id").select("id", "u", "root"), "nn-saturated")
+        if left.select("root").distinct().count() < 2:
+            return links, members
+        n = left.count()
+        seed += 1
+        found = C.staged(_draw(left, n, dim, seed, TABLES, NEIGHBOURS, threshold).select("a", "b").distinct(), "nn-bridges")
+        if found.isEmpty():
+            return links, members
+        links = C.staged(links.union(found), "nn-links")
+        members = components(links, "nn-components")
+
+
 def _enlarged(members: DataFrame, verts: DataFrame, threshold: float) -> DataFrame:
     """(id, n): rows that each vertex of a component links with, itself not counted. Blocks of members meet in pairs."""
     # Every member lies in one block of its component, by a hash; blocks hold about BLOCK members.
@@ -255,6 +284,7 @@ def classes(vectors: DataFrame, threshold: float = 0.95, recall: float = RECALL,
         found = graph.where(F.col("s") >= threshold).select("a", "b")
         links = C.staged(found if links is None else links.union(found), "nn-links")
         members = components(links, "nn-components")
+        links, members = _bridged(verts, links, members, dim, 100 * seed + 50, threshold)
         true, got = _missed(verts, links, members, n, threshold)
         if got >= recall * true:
             break

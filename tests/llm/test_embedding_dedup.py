@@ -74,3 +74,17 @@ def test_ties_and_empty(spark):
     df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (2, [2.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, E.classes(df).collect())) == [(2, 2, 2, True), (5, 2, 2, False), (5, 2, 2, False), (7, 0, 7, True)]
     assert E.classes(df.where("vec_id = 99")).count() == 0
+
+
+def test_full_lists_still_meet_other_packs(spark):
+    r = np.random.default_rng(5)
+    unit = lambda v: v / np.linalg.norm(v)
+    hot = unit(r.normal(size=32))
+    rows = []
+    for _ in range(12):
+        centre = unit(hot + 0.17 * unit(r.normal(size=32)))
+        rows += [[float(np.float32(x)) for x in centre + 0.02 * unit(r.normal(size=32))] for _ in range(15)]
+    rows += [[float(np.float32(x)) for x in r.normal(size=32)] for _ in range(60)]
+    rows = list(enumerate(rows))
+    got = sorted(map(tuple, E.classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == brute(rows) and [g[1] for g in got[:180]] == [179] * 180
