@@ -11,14 +11,17 @@
    saturated and may leave links out: saturated vertices meet those of other components in new cells, until no two
    components meet. Then each list is enlarged to all of its component, block by block, which counts links exactly
    without listing them.
-5. The audit: links of a bounded draw of vertices are counted by brute force, in blocks, and compared. While recall is
-   below ``recall``, another set of tables is drawn and joins the graph.
+5. The audit: for rows whose id is divisible by 50, links are counted by brute force, in blocks. Recall is the mean, over
+   rows with links, of the share that was found. While it is below ``recall``, another set of tables is drawn and joins
+   the graph; if the last draw leaves it below 0.9, an error says so. It is logged.
 
 Repeated vec_ids are one vector if they are equal, else vertices of one id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +40,19 @@ ROUNDS = 4
 #: Rounds end when fewer than this share of the entries of lists change.
 STILL = 0.02
 BLOCK = 1_024
-AUDIT = 256
 RECALL = 0.95
 MOST_DRAWS = 4
+#: Tables are so many that a pair at the threshold shares no cell with this probability at most.
+MISS = 0.01
+#: The audit takes the rows whose id is divisible by this, in blocks, until so many of them had links or all are taken.
+QUERIES = 50
+LINKED = 1_000
+QUERY_BLOCK = 2_048
+#: What is returned has at least this measured recall.
+REQUIRED = 0.9
+
+
+_log = logging.getLogger(__name__)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -121,10 +134,20 @@ def _split(rows: np.ndarray, x: np.ndarray, rng) -> Iterator[np.ndarray]:
     yield from _split(rows[order[half:]], x, rng)
 
 
+def _bits(n: int) -> int:
+    return max(0, min(24, int(np.ceil(np.log2(max(n, 1) / CELL)))))
+
+
+def tables_of(n: int, threshold: float) -> int:
+    """Tables that n vertices need: each plane parts a pair at the threshold with probability angle / pi."""
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** _bits(n)
+    return TABLES if meet >= 1 else max(TABLES, math.ceil(math.log(MISS) / math.log1p(-meet)))
+
+
 def _draw(verts: DataFrame, n: int, dim: int, seed: int, tables: int, k: int, floor: float | None = None) -> DataFrame:
     """Edges of a set of tables of cells; with a floor, those at or above it between vertices of different ``root``."""
     names = ["id", "u"] if floor is None else ["id", "u", "root"]
-    bits = max(0, min(24, int(np.ceil(np.log2(max(n, 1) / CELL)))))
+    bits = _bits(n)
     planes = np.random.default_rng(seed).normal(size=(tables, max(bits, 1), dim))
 
     def code(batches):
@@ -209,7 +232,7 @@ def _bridged(verts: DataFrame, links: DataFrame, members: DataFrame, dim: int, s
             return links, members
         n = left.count()
         seed += 1
-        found = C.staged(_draw(left, n, dim, seed, TABLES, NEIGHBOURS, threshold).select("a", "b").distinct(), "nn-bridges")
+        found = C.staged(_draw(left, n, dim, seed, tables_of(n, threshold), NEIGHBOURS, threshold).select("a", "b").distinct(), "nn-bridges")
         if found.isEmpty():
             return links, members
         links = C.staged(links.union(found), "nn-links")
@@ -248,25 +271,40 @@ def _enlarged(members: DataFrame, verts: DataFrame, threshold: float) -> DataFra
     return met.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _missed(verts: DataFrame, graph_links: DataFrame, members: DataFrame, n: int, threshold: float) -> tuple[int, int]:
-    """(links of drawn vertices, those that lie in one component), by brute force. The draw is at most about AUDIT."""
-    draw = verts.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, n // AUDIT))) == 0).select("id", "u").limit(4 * AUDIT).collect()
-    if not draw:
-        return 0, 0
-    q, ids = np.stack([np.frombuffer(r.u, np.float64) for r in draw]), np.array([r.id for r in draw])
-
-    def search(batches):
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            i, j = np.nonzero(_matrix(batch.column(1)) @ q.T >= threshold)
-            keep = own[i] != ids[j]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(own[i[keep]]), "b": pa.array(ids[j[keep]])})
-
-    true = verts.select("id", "u").mapInArrow(search, "a long, b long")
-    root = lambda c: members.select(F.col("id").alias(f"_{c}"), F.col("root").alias(f"r{c}"))
-    got = true.join(root("a"), F.col("a") == F.col("_a"), "left").join(root("b"), F.col("b") == F.col("_b"), "left")
-    r = got.agg(F.count("*").alias("n"), F.count(F.when(F.col("ra") == F.col("rb"), 1)).alias("k")).first()
-    return r.n, r.k
+def _recall(rows: DataFrame, verts: DataFrame, members: DataFrame, threshold: float) -> tuple[float, int]:
+    """(mean share of its links that each query with links has in its component, number of such queries), by brute
+    force. Copies of a query are found for certain and don't count."""
+    root = members.select(F.col("id").alias("_r"), "root")
+    all_ = C.staged(verts.join(root, F.col("id") == F.col("_r"), "left").select("id", "u", "m", F.coalesce("root", "id").alias("root")), "nn-audit")
+    asked = rows.where((F.col("id") % QUERIES == 0) & F.col("u").isNotNull()).select("u").distinct()
+    asked = C.staged(all_.join(asked, "u", "left_semi").select("id", "u", "root", F.xxhash64("id", F.lit(3)).alias("h")), "nn-queries")
+    parts = -(-asked.count() // QUERY_BLOCK)
+    share, linked = 0.0, 0
+    for part in range(parts):
+        block = asked.where(F.pmod("h", F.lit(parts)) == part).collect()
+        if not block:
+            continue
+        q = np.stack([np.frombuffer(r.u, np.float64) for r in block])
+        ids, roots = np.array([r.id for r in block]), np.array([r.root for r in block])
+
+        def search(batches, q=q, ids=ids, roots=roots):
+            true, got = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for batch in batches:
+                own, x, m, root = batch.column(0).to_numpy(), _matrix(batch.column(1)), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                i, j = np.nonzero(x @ q.T >= threshold)
+                keep = own[i] != ids[j]
+                i, j = i[keep], j[keep]
+                np.add.at(true, j, m[i])
+                np.add.at(got, j, np.where(root[i] == roots[j], m[i], 0))
+            hit = np.flatnonzero(true)
+            yield pa.RecordBatch.from_pydict({"q": pa.array(hit), "true": pa.array(true[hit]), "got": pa.array(got[hit])})
+
+        sums = all_.select("id", "u", "m", "root").mapInArrow(search, "q long, true long, got long").groupBy("q").agg(F.sum("true").alias("true"), F.sum("got").alias("got"))
+        r = sums.agg(F.sum(F.col("got") / F.col("true")).alias("share"), F.count("*").alias("n")).first()
+        share, linked = share + (r.share or 0.0), linked + r.n
+        if linked >= LINKED:
+            break
+    return (share / linked if linked else 1.0), linked
 
 
 def classes(vectors: DataFrame, threshold: float = 0.95, recall: float = RECALL, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -280,14 +318,17 @@ def classes(vectors: DataFrame, threshold: float = 0.95, recall: float = RECALL,
     dim = len(head.u) // 8 if head else 1
     links, members = None, None
     for seed in range(MOST_DRAWS):
-        graph = neighbour_graph(verts, n, dim, 100 * seed)
+        graph = neighbour_graph(verts, n, dim, 100 * seed, tables=tables_of(n, threshold))
         found = graph.where(F.col("s") >= threshold).select("a", "b")
         links = C.staged(found if links is None else links.union(found), "nn-links")
         members = components(links, "nn-components")
         links, members = _bridged(verts, links, members, dim, 100 * seed + 50, threshold)
-        true, got = _missed(verts, links, members, n, threshold)
-        if got >= recall * true:
+        share, linked = _recall(rows, verts, members, threshold)
+        _log.info("recall %.4f over %d vectors with links after %d draws", share, linked, seed + 1)
+        if share >= recall:
             break
+    if share < REQUIRED:
+        raise RuntimeError(f"recall of links is {share:.3f} over {linked} vectors after {MOST_DRAWS} draws; {REQUIRED} is required")
     counts = C.staged(_enlarged(members, verts, threshold), "nn-counts")
     own = verts.select(F.col("u").alias("_u"), F.col("id").alias("vid"), "m")
     out = rows.join(own, F.col("u") == F.col("_u"), "left")

@@ -1,4 +1,7 @@
+import logging
+
 import numpy as np
+import pytest
 from prefscale.llm import embedding_dedup as E
 
 
@@ -88,3 +91,25 @@ def test_full_lists_still_meet_other_packs(spark):
     rows = list(enumerate(rows))
     got = sorted(map(tuple, E.classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
     assert got == brute(rows) and [g[1] for g in got[:180]] == [179] * 180
+
+
+def test_tables_grow_with_the_bits():
+    for n in (1, 2_000, 1_000_000, 20_000_000):
+        meet = (1 - np.arccos(0.95) / np.pi) ** E._bits(n)
+        assert (1 - meet) ** E.tables_of(n, 0.95) <= E.MISS and E.tables_of(n, 0.95) >= E.TABLES
+
+
+def test_lost_links_are_told(spark, monkeypatch, caplog):
+    # A large group, and small ones of which the graph loses all links: most queries lose theirs, most links are found.
+    e = np.eye(40)
+    rows = [(50 * i, [float(x) for x in e[0] + 0.01 * e[1 + i % 30] + 0.001 * i * e[31]]) for i in range(9)]
+    rows += [(1000 * (i + 1) + 50 * j, [float(x) for x in e[i + 1] + 0.1 * j * e[0]]) for i in range(15) for j in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    with caplog.at_level(logging.INFO, logger=E.__name__):
+        assert sorted(map(tuple, E.classes(df).collect())) == brute(rows)
+    assert "recall 1.0000 over 39 vectors" in caplog.text
+    whole = E.neighbour_graph
+    monkeypatch.setattr(E, "neighbour_graph", lambda *a, **k: whole(*a, **k).where("a < 1000 and b < 1000"))
+    monkeypatch.setattr(E, "MOST_DRAWS", 1)
+    with pytest.raises(RuntimeError, match="recall of links is 0.231 over 39"):
+        E.classes(df)
