@@ -36,6 +36,7 @@ COST_SIGN = 1.0
 COST_DOUBLE = 1.5
 COST_RUN = 0.5
 COST_GAP = 0.5
+COST_BREAK = 0.5
 FLOOR = math.log(1e-6)
 
 _LETTER = np.zeros(256, bool)
@@ -46,6 +47,8 @@ _SIGN[[ord(c) for c in LEET if ord(c) < 128]] = True
 _SEP = np.zeros(256, bool)
 _SEP[[ord(c) for c in SEPARATORS]] = True
 _EDGE = ".,;:?!\"'()[]{}<>«»“”‘’¡¿…"
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in _EDGE if ord(c) < 128]] = True
 
 
 # ---------------------------------------------------------------- channel
@@ -73,11 +76,14 @@ class CharModel:
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of the word, its readings and their costs."""
+    """For each run of the word, its readings and their costs. A space between spaced letters is nothing or a word break."""
     out: list[list[tuple[str, float]]] = []
     runs = [m[0] for m in re.finditer(r"(.)\1*", word, re.S)]
     for run in runs:
         c, k = run[0], len(run)
+        if c == " ":
+            out.append([("", 0.0), (" ", COST_BREAK)])
+            continue
         if c in SEPARATORS and 0 < len(out):
             out.append([("", COST_GAP)])
             continue
@@ -94,26 +100,35 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def decode(word: str, model: CharModel) -> str:
     """The likeliest reading of a disguised word; a word without a letter to read stays."""
-    best: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
+    # Texts are chains of (chain before, reading): spaced runs can be long.
+    best: dict[tuple[str, str], tuple[float, tuple | None]] = {("^", "^"): (0.0, None)}
     for arcs in lattice(word):
-        step: dict[tuple[str, str], tuple[float, str]] = {}
+        step: dict[tuple[str, str], tuple[float, tuple | None]] = {}
         for (a, b), (score, text) in best.items():
             for reading, cost in arcs:
                 x, y, s = a, b, score - cost
-                for c in reading:
+                if reading == " ":
+                    s += model.log(x, y, "$")
+                    x = y = "^"
+                for c in reading.strip(" "):
                     s += model.log(x, y, c)
                     x, y = y, c
                 if (x, y) not in step or step[x, y][0] < s:
-                    step[x, y] = (s, text + reading)
+                    step[x, y] = (s, (text, reading))
         # States are the last two letters: at most a few for each run, whatever the word's length.
         best = step
-    end = max(((s + model.log(a, b, "$"), t) for (a, b), (s, t) in best.items()), default=(0.0, word))
-    return end[1] or word
+    end = max(((s + model.log(a, b, "$"), t) for (a, b), (s, t) in best.items()), key=lambda x: x[0])[1]
+    out = []
+    while end is not None:
+        end, reading = end
+        out.append(reading)
+    return "".join(reversed(out)) or word
 
 
 def _disguised(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
     """Word ranges [i, j) to restore: single words with signs beside letters, drawn-out letters or letters between
-    separators; and three or more words of one letter in a row."""
+    separators; and three or more words of one letter or sign in a row, one letter at least among them. Punctuation
+    may open the first of such a row and close the last."""
     letter, sign, sep = _LETTER[low], _SIGN[low], _SEP[low]
     odd = np.zeros(len(low) + 1, np.int32)
     flag = sign.copy()
@@ -124,15 +139,28 @@ def _disguised(low: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray)
     letters = np.concatenate(([0], np.cumsum(letter, dtype=np.int32)))
     candidates = np.flatnonzero((odd[e] > odd[s]) & (letters[e] > letters[s]))
     out = [(int(i), int(i) + 1) for i in candidates]
-    one = (e - s == 1) & letter[s] if len(s) else np.zeros(0, bool)
-    one |= (e - s == 2) & (low[s] >= 0xC3) & letter[s] if len(s) else one
+    if not len(s):
+        return out
+    m = e - s
+    wide = (m == 2) & (low[s] >= 0xC3) & letter[s]
+    euro = (m == 3) & (low[s] == 0xE2) & (low[np.minimum(s + 1, e - 1)] == 0x82) & (low[e - 1] == 0xAC)
+    one = (m == 1) & (letter[s] | sign[s]) | wide | euro
+    # A letter or sign (its length) with a mark before or after it.
+    head = (m == 2) & _MARK[low[s]] & (letter[e - 1] & (low[e - 1] < 128) | sign[e - 1])
+    size = np.where(low[s] >= 0xC3, 2, 1)
+    body = (letter[s] & (low[s] < 0xE0)) | sign[s]
+    marks = np.concatenate(([0], np.cumsum(_MARK[low], dtype=np.int32)))
+    tail = body & (m > size) & (m <= size + 3) & (marks[e] - marks[np.minimum(s + size, e)] == m - size) & ~head
+    one |= head | tail
     starts = np.zeros(len(s), bool)
     starts[first[:-1][first[:-1] < len(s)]] = True
+    starts |= head
+    starts[1:] |= tail[:-1]
     edge = np.flatnonzero(np.diff(np.concatenate(([0], one.view(np.int8), [0]))))
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
         cuts = [a, *(np.flatnonzero(starts[a + 1 : b]) + a + 1).tolist(), b]
-        out += [(x, y) for x, y in zip(cuts[:-1], cuts[1:]) if y - x >= 3]
-    return sorted(out)
+        out += [(x, y) for x, y in zip(cuts[:-1], cuts[1:]) if y - x >= 3 and letters[e[y - 1]] > letters[s[x]]]
+    return sorted(out, key=lambda x: (x[0], -x[1]))
 
 
 def restore(column: pa.Array, model: CharModel, known: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +178,11 @@ def restore(column: pa.Array, model: CharModel, known: dict[str, str]) -> tuple[
     for (i, j), r in zip(spans, row.tolist()):
         if s[i] < at:
             continue
-        word = "".join(raw[s[k] : e[k]].decode() for k in range(i, j)).strip(_EDGE)
+        word = " ".join(raw[s[k] : e[k]].decode() for k in range(i, j))
+        # A sign that stands alone is a letter of its run, not a mark.
+        lead = word[0] if j > i + 1 and word[0] in LEET and word[1] == " " else ""
+        last = word[-1] if j > i + 1 and word[-1] in LEET and word[-2] == " " else ""
+        word = lead + word[len(lead) : len(word) - len(last)].strip(_EDGE) + last
         got = known.get(word)
         if got is None:
             if len(known) >= CACHE_WORDS:

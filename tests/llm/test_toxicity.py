@@ -79,3 +79,13 @@ def test_filter_and_no_labels(spark, model):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in X.digest(df, none).collect()] == [0.0, 0.0]
     assert X.digest(df.where("doc_id = 5"), none).count() == 0
+
+
+@pytest.mark.parametrize("told,want", [
+    ("so i d 1 0 t now", "so idiot now"), ("1 d 1 0 t", "idiot"), ("$ t u p 1 d", "stupid"), ("s t u p i d!", "stupid"), ('you "s t u p i d", ok', "you stupid ok"),
+    ("a s t u p i d", "a stupid"), ("i d i o t l o s e r", "idiot loser"), ("s t u p 1 d! l 0 s e r.", "stupid loser"), ("1 2 3 4", "1 2 3 4"),
+])
+def test_spaced_words_with_signs_marks_and_neighbours(told, want):
+    m = chars((BAD + ["stupid"]) * 9 + ["a", "you", "so", "now"] * 5)
+    buf, off = X.restore(pa.array([told, None, told]), m, {})
+    assert [buf[a:b].tobytes().decode() for a, b in zip(off[:-1], off[1:])] == [want, "", want]
