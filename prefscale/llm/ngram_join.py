@@ -411,9 +411,22 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, hot_buckets: int
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one whose id is the component's; all columns kept."""
-    kept = classes(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each component: the one whose id is the component's; all columns kept.
+
+    Where ids are null or reused, every row is a document of its own: rows are numbered in the order of their ids, nulls
+    last, and the first row of each component stays, whatever the other rows of its id hold. Of rows without words, one of each
+    id stays, and all without an id."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        kept = classes(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = C.staged(rows, "ngram-rows")
+    kept = classes(rows.select(F.col("_row").alias("doc_id"), "text"), **options).where("doc_id = component_id")
+    kept = C.staged(kept.select(F.col("doc_id").alias("_kept"), "n_shingles"), "ngram-kept")
+    # Rows without words have no likeness; of those of one id one stays, too.
+    bare = rows.select("_row", "doc_id").join(kept.where("n_shingles = 0"), F.col("_row") == F.col("_kept")).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_row")))
+    kept = kept.where("n_shingles > 0").select("_kept").union(bare.agg(F.min("_row").alias("_kept")).select("_kept"))
+    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").drop("_row")
 
 
 ORACLE = r"""

@@ -99,3 +99,13 @@ def test_first_of_each_and_empty(spark):
     df = spark.createDataFrame([(3, "a b c d e f", "x"), (1, "A b c d e f", "y"), (7, None, "z"), (7, None, "z")], "doc_id long, text string, component_id string")
     assert sorted(map(tuple, J.first_of_each(df).collect())) == [(1, "A b c d e f", "y"), (7, None, "z")]
     assert J.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_first_of_each_keeps_clean_rows_of_null_and_reused_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    near = text(1) + " more"
+    rows = [(3, text(1), "a"), (7, text(2), "b"), (7, near, "c"), (7, text(3), "d"), (7, text(3), "d"), (9, text(3) + " end", "e")]
+    rows += [(None, text(4), "f"), (None, text(4) + " z", "f"), (None, text(2), "g"), (None, text(5), "h"), (None, None, "i"), (None, "", "i"), (11, "", "j"), (11, None, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = sorted((r.tag for r in J.first_of_each(df).collect()))
+    assert got == ["a", "b", "d", "f", "h", "i", "i", "j"]
