@@ -15,9 +15,12 @@ _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor sees; where it is unset (tests), one of our own."""
+    """The folder in spark.checkpoint.dir, which every executor sees; where it is unset and the master local (tests),
+    one of our own. A cluster without the setting is refused, as its executors share no folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "prefscale-checkpoints")
     return path.rstrip("/")
 
@@ -47,6 +50,24 @@ def unstage_all() -> None:
             return
 
 
+def whole_groups(batches, key: str):
+    """Tables of whole groups of a partition that is sorted by key, as many groups at a time as a batch ends with."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))
+        if held and (cut or held[-1].column(key)[0].as_py() != int(k[0])):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks()
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
