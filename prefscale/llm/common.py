@@ -50,6 +50,14 @@ def unstage_all() -> None:
             return
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it, that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def whole_groups(batches, key: str):
     """Tables of whole groups of a partition that is sorted by key, as many groups at a time as a batch ends with."""
     held: list[pa.RecordBatch] = []

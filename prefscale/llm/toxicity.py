@@ -2,13 +2,21 @@
 
 Disguised words (digits and signs for letters, letters drawn out, letters set apart) are restored first. The possible
 readings of such a word form a lattice: each sign may stand for itself or for letters, a run of one letter for one or
-two of it, a separator for nothing. A Viterbi search picks the likeliest path under a character trigram model of the
-corpus and the costs of the channel. The restored text is then scored by words and word beginnings that are
-significantly commoner in toxic documents, and the log of their summed evidence is mapped to a probability.
-
-Everything is learned from a bounded sample of labelled rows: all of them up to ``max_rows``, beyond that a share
-chosen by a hash of doc_id. A null or empty text has no evidence and gets the score of such; repeated rows are judged
-each for itself; without labels every score is 0.
+two of it, a separator for nothing, a space between spaced letters for nothing or a word break. A Viterbi search picks
+the likeliest path under a character trigram model of the corpus and the costs of the channel; a digit at an end of a
+word without signs inside stands for itself at little cost, the less the longer the number (mp3, 4th). The restored text is then scored by words and
+word beginnings that are significantly commoner in toxic documents, and the log of their summed evidence is mapped to a
+probability.
+
+Trigrams are counted over all texts given to ``fit``; the model keeps the ``max_grams`` commonest. The classifier is
+learned from a bounded sample of labelled rows: all of them up to ``max_rows``, beyond that a share chosen by a hash of
+doc_id; all features that are significant in that sample are kept.
+
+Cases. A null or empty text has no evidence and gets the score of such. A null doc_id is not held out, has no label, and
+its row is scored. Repeated rows, and rows that share a doc_id, are judged each for itself; a doc_id with several labels
+is toxic if one says so, and is learned from once. Without labels every score is 0. Texts may be of any length and are
+read whole. Readings of equal likelihood: the first of the lattice. Other columns pass unread; one with the name of the
+score is replaced by ``judged`` and passes in ``without_toxic``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +35,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 MAX_ROWS = 30_000
+#: Size of the character model.
+MAX_GRAMS = 1_000_000
 CACHE_WORDS = 100_000
 
 # Fixed values of the channel: what a sign may stand for, and the cost of each departure in nats.
@@ -37,6 +47,9 @@ COST_DOUBLE = 1.5
 COST_RUN = 0.5
 COST_GAP = 0.5
 COST_BREAK = 0.5
+COST_SELF = 6.0
+COST_HEAD = 3.0
+COST_TAIL = 2.0
 FLOOR = math.log(1e-6)
 
 _LETTER = np.zeros(256, bool)
@@ -75,11 +88,19 @@ class CharModel:
         return math.log(p) if p > 1e-6 else FLOOR
 
 
+def _is_sign(c: str) -> bool:
+    return c in LEET and not c.isalpha()
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of the word, its readings and their costs. A space between spaced letters is nothing or a word break."""
+    """For each run of the word, its readings and their costs. A sign that stands for itself is read as its run; a space
+    between spaced letters is nothing or a word break."""
     out: list[list[tuple[str, float]]] = []
     runs = [m[0] for m in re.finditer(r"(.)\1*", word, re.S)]
-    for run in runs:
+    inner = [k for k, run in enumerate(runs) if not _is_sign(run[0])]
+    lo, hi = (inner[0], inner[-1]) if inner else (0, 0)
+    plain = not any(_is_sign(run[0]) for run in runs[lo : hi + 1]) and " " not in word
+    for at, run in enumerate(runs):
         c, k = run[0], len(run)
         if c == " ":
             out.append([("", 0.0), (" ", COST_BREAK)])
@@ -87,14 +108,18 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c in SEPARATORS and 0 < len(out):
             out.append([("", COST_GAP)])
             continue
-        readings = [] if c in LEET and not c.isalpha() else [(c, 0.0)]
-        readings += [(x, COST_SIGN) for x in LEET.get(c, "")]
+        sign = _is_sign(c)
+        readings = [(x, COST_SIGN) for x in LEET.get(c, "")] if sign else [(c, 0.0), *((x, COST_SIGN) for x in LEET.get(c, ""))]
         if k == 1:
-            out.append(readings)
+            arcs = readings
         elif k == 2:
-            out.append([(x * 2, cost) for x, cost in readings] + [(x, cost + COST_DOUBLE) for x, cost in readings])
+            arcs = [(x * 2, cost) for x, cost in readings] + [(x, cost + COST_DOUBLE) for x, cost in readings]
         else:
-            out.append([(x, cost + COST_RUN) for x, cost in readings] + [(x * 2, cost + COST_RUN) for x, cost in readings])
+            arcs = [(x, cost + COST_RUN) for x, cost in readings] + [(x * 2, cost + COST_RUN) for x, cost in readings]
+        if sign:
+            edge = COST_HEAD / lo**2 if at < lo else COST_TAIL / (len(runs) - 1 - hi) ** 2 if at > hi else COST_SELF
+            arcs = [*arcs, (run, edge if plain and c.isdigit() else COST_SELF)]
+        out.append(arcs)
     return out
 
 
@@ -107,17 +132,18 @@ def decode(word: str, model: CharModel) -> str:
         for (a, b), (score, text) in best.items():
             for reading, cost in arcs:
                 x, y, s = a, b, score - cost
-                if reading == " ":
-                    s += model.log(x, y, "$")
+                if reading == " " or reading and _is_sign(reading[0]):  # letters after a break or a sign start anew
+                    s += model.log(x, y, "$") if reading == " " and y != "^" else 0.0
                     x = y = "^"
-                for c in reading.strip(" "):
-                    s += model.log(x, y, c)
-                    x, y = y, c
+                else:
+                    for c in reading:
+                        s += model.log(x, y, c)
+                        x, y = y, c
                 if (x, y) not in step or step[x, y][0] < s:
                     step[x, y] = (s, (text, reading))
         # States are the last two letters: at most a few for each run, whatever the word's length.
         best = step
-    end = max(((s + model.log(a, b, "$"), t) for (a, b), (s, t) in best.items()), key=lambda x: x[0])[1]
+    end = max(((s + (model.log(a, b, "$") if b != "^" else 0.0), t) for (a, b), (s, t) in best.items()), key=lambda x: x[0])[1]
     out = []
     while end is not None:
         end, reading = end
@@ -212,12 +238,15 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of trigrams of the plain words."""
-    for batch in batches:
+    for part in (p for batch in batches for p in C.slices(batch, "text", 8 << 20)):
         words, n = Counter(), Counter()
-        for text in batch.column("text").to_pylist():
-            words.update(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        for text in part.column("text").to_pylist():
+            words.update(_WORD.findall((text or "").lower()))
         for w, k in words.items():
             w = f"^^{w}$"
             for i in range(len(w) - 2):
@@ -255,7 +284,7 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * self.evidence(column) + self.bias))) if self.slope else np.zeros(len(column))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): the rows to learn from."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -263,8 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1, max_rows / max(n, 1))))
     rows = docs.select("doc_id", "text").where(draw).join(known.where(draw), "doc_id").dropDuplicates(["doc_id"])
     rows = C.staged(rows.select("text", F.col("toxic").cast("int")), "toxicity-sample")
-    grams = rows.select("text").mapInArrow(_trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    chars = CharModel({r.g: r.n for r in grams.where("n > 1").collect()})
+    grams = docs.select("text").mapInArrow(_trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    chars = CharModel({r.g: r.n for r in grams.orderBy(F.desc("n"), "g").limit(max_grams).collect()})
     empty = Model(chars, np.zeros(0, np.uint64), np.zeros(0))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -293,8 +322,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     tot, lift = F.col("n1") + F.col("n0"), (F.col("n1") + 0.5) / (n1 + 1) / ((F.col("n0") + 0.5) / (n0 + 1))
     part = lambda c, p: F.when(c > 0, c * F.log(c / (tot * p))).otherwise(0.0)
     ratio = 2 * (part(F.col("n1"), share) + part(F.col("n0"), max(1 - share, 1e-9)))
-    strong = df.where((lift > 3) & (ratio > 2 * math.log(max(kinds, 2)))).select("key", F.log(lift).alias("w"), "n1")
-    got = strong.orderBy(F.desc("n1"), "key").limit(200_000).toArrow()
+    strong = df.where((lift > 3) & (ratio > 2 * math.log(max(kinds, 2)))).select("key", F.log(lift).alias("w"))
+    # Bounded by the words of the sample.
+    got = strong.toArrow()
     keys = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     model = Model(chars, keys[order], got.column("w").to_numpy()[order])
@@ -343,11 +373,13 @@ def judged(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    return judged(docs, model, "_toxicity").where(F.col("_toxicity") < threshold).select(*docs.columns)
+    name = C.free_name(docs, "_toxicity")
+    return judged(docs, model, name).where(F.col(name) < threshold).drop(name)
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """False for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learned(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
