@@ -6,13 +6,20 @@ share of its characters that stand in links. The container with the most points,
 like text, are kept; an enclosing article or main element takes the place of a container inside it. Menus, page
 headers, footers, sidebars, notices, adverts, forms, scripts, comments of readers and hidden elements are never read.
 
-A null or empty page has an empty text; so has one without text outside those parts. Nothing is capped.
+A class or id tells a part that isn't read by its words: some do wherever they stand (sidebar, newsletter), others only
+alone or among words of layout, so that "social-links" is such a part and "social-history" isn't.
+
+Cases. A null or empty page has an empty text; so has one without text outside those parts. Pages of any length and
+depth are read whole, in time linear in both. Of containers with equal points the first wins. Repeated rows are read
+each for itself; other columns pass unread, and one with the name of the result is replaced. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,13 +42,25 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
 TAG_POINTS = {"article": 15, "main": 12, "section": 3, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "address": -3, "th": -5}
 
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu\w*|nav|navbar|navigation|breadcrumbs?|masthead|"
-    r"footer|foot|footnav|comments?|commentlist|disqus|respond|reply|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|skip|outbrain|taboola)(?:$|[\s_-]|\d)",
-    re.I,
+# Words of class names and ids of parts that aren't read, wherever they stand in a name,
+ALWAYS = frozenset(
+    "sidebar advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion "
+    "breadcrumb breadcrumbs masthead navbar footnav commentlist disqus cookie cookies consent gdpr popup modal newsletter "
+    "subscribe subscription pagination pager outbrain taboola topbar".split()
+)
+# alone or among words of layout,
+SOMETIMES = frozenset(
+    "ad ads banner side menu menus nav navigation footer foot comment comments respond reply replies notice notices alert "
+    "overlay signup login share sharing social related recommend recommended recommendations widget widgets toolbar skip".split()
+)
+# the same outside articles only,
+HEADS = frozenset("header head".split())
+# and the words of layout.
+LAYOUT = frozenset(
+    "link links list lists box boxes bar bars wrap wrapper container inner outer left right top bottom area section block "
+    "blocks panel item items button buttons icon icons form title global primary secondary mobile site page user users "
+    "reader readers post posts article articles story stories news media slot unit row col column thread group id to main".split()
 )
-_HEAD = re.compile(r"(?:^|[\s_-])(?:header|head|topbar|top)(?:$|[\s_-]|\d)", re.I)
 _GOOD = re.compile(r"article|body|content|entry|main|post|story|text|blog", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TOKEN = re.compile(
@@ -49,7 +68,8 @@ _TOKEN = re.compile(
     r"<([A-Za-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)(?=[\s=/>]|$)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_PART = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
 _ENDS: dict[str, re.Pattern] = {}
 
 LEAST_CHARS = 25
@@ -61,6 +81,26 @@ def _end_of(name: str) -> re.Pattern:
     return _ENDS[name]
 
 
+def attributes_of(source: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, the first of each; one without a value is empty."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def unread(names: str, inside: bool = False) -> bool:
+    """Whether a class or an id among names tells a part that isn't read; inside: of an article."""
+    for name in names.split():
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not ALWAYS.isdisjoint(parts):
+            return True
+        told = SOMETIMES if inside else SOMETIMES | HEADS
+        if not told.isdisjoint(parts) and all(p in told or p in LAYOUT for p in parts):
+            return True
+    return False
+
+
 class _Page:
     """Nodes in order of their start, so that a parent's number is below its children's."""
 
@@ -69,6 +109,7 @@ class _Page:
         #: (block node, text, characters in links) of each run of inline content, in page order.
         self.blocks: list[tuple[int, str, int]] = []
         self._stack, self._parts, self._owner, self._links, self._in_link = [0], [], 0, 0, 0
+        self._opened: Counter[str] = Counter()  # elements on the stack by tag
         self._read(source)
 
     def _flush(self) -> None:
@@ -94,6 +135,7 @@ class _Page:
     def _pop_to(self, depth: int) -> None:
         while len(self._stack) > depth:
             k = self._stack.pop()
+            self._opened[self.tag[k]] -= 1
             self._in_link -= self.tag[k] == "a"
             if self.tag[k] in BLOCK:
                 self._flush()
@@ -101,7 +143,7 @@ class _Page:
     def _open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self._flush()
-            for d in range(len(self._stack) - 1, 0, -1):  # a block ends an open paragraph
+            for d in range(len(self._stack) - 1, 0, -1) if self._opened["p"] else ():  # a block ends an open paragraph
                 t = self.tag[self._stack[d]]
                 if t == "p":
                     self._pop_to(d)
@@ -110,7 +152,7 @@ class _Page:
                     break
             if tag in CLOSES:
                 closed, walls = CLOSES[tag]
-                for d in range(len(self._stack) - 1, 0, -1):
+                for d in range(len(self._stack) - 1, 0, -1) if any(self._opened[t] for t in closed) else ():
                     t = self.tag[self._stack[d]]
                     if t in walls:
                         break
@@ -132,32 +174,25 @@ class _Page:
         up = self._stack[-1]
         names, drop = "", self.dropped[up] or tag in DROPPED
         if not drop and attributes:
-            for m in _ATTR.finditer(attributes):
-                key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-                if key in ("class", "id"):
-                    names += " " + value
-                elif key == "role":
-                    drop |= value.strip().lower() in DROPPED_ROLES
-                elif key == "style":
-                    drop |= bool(_HIDDEN.search(value))
-                else:
-                    drop |= key == "hidden" or value.strip().lower() == "true"
-            if names and tag not in ("body", "html", "article", "main", "p") or names and "comment" in names.lower():
-                drop |= bool(_BAD.search(names)) or bool(_HEAD.search(names) and tag in ("div", "section", "table") and not self._inside())
+            own = attributes_of(attributes)
+            names = f"{own.get('class', '')} {own.get('id', '')}".strip()
+            drop |= own.get("role", "").strip().lower() in DROPPED_ROLES or bool(_HIDDEN.search(own.get("style", "")))
+            drop |= "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true"
+            if names and (tag not in ("body", "html", "article", "main", "p") or "comment" in names.lower()):
+                drop |= unread(names, tag not in ("div", "section", "table") or self._inside())
         if not drop and tag == "header":
             drop = not self._inside()
-        if drop and not self.dropped[up] and self._parts and tag not in BLOCK:
-            pass  # an inline part that isn't read doesn't end the block
         k = len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
         self.dropped.append(drop)
         self.names.append(names)
         self._stack.append(k)
+        self._opened[tag] += 1
         self._in_link += tag == "a"
 
     def _inside(self) -> bool:
-        return any(self.tag[k] in ("article", "main") for k in self._stack)
+        return self._opened["article"] + self._opened["main"] > 0
 
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
@@ -177,7 +212,7 @@ class _Page:
                 self._text(m[1])
             elif m[2]:
                 tag = m[2].lower()
-                for d in range(len(self._stack) - 1, 0, -1):
+                for d in range(len(self._stack) - 1, 0, -1) if self._opened[tag] else ():
                     t = self.tag[self._stack[d]]
                     if t == tag:
                         self._pop_to(d)
@@ -203,50 +238,79 @@ def _chain(page: _Page, k: int) -> Iterator[int]:
         k = page.parent[k]
 
 
-def main_text(source: str | None) -> str:
-    page = _Page(source or "")
-    if not page.blocks:
-        return ""
-    score, chars, links = {}, {}, {}
+#: What a block's points are divided by, by the levels between it and an ancestor; the last for all beyond.
+LEVELS = (1, 2, 6, 9, 12, 15, 18)
+
+
+def _points(page: _Page) -> tuple[list[float], list[int], list[int], list[int]]:
+    """Points, blocks that count, characters and characters in links of every node, passed up from children to parents:
+    as a parent's number is below its children's, one pass from the last node does."""
+    n, far = len(page.tag), len(LEVELS) - 1
+    level = [[0.0] * n for _ in LEVELS]  # points of what lies so many levels below
+    counted, chars, links = [0] * n, [0] * n, [0] * n
     for owner, text, linked in page.blocks:
-        for k in _chain(page, owner):
-            chars[k] = chars.get(k, 0) + len(text)
-            links[k] = links.get(k, 0) + linked
+        chars[owner] += len(text)
+        links[owner] += linked
         if len(text) < LEAST_CHARS or page.tag[owner] in HEADINGS:
             continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text)))
         if page.tag[owner] in ("p", "pre", "td", "blockquote", "li", "dd"):
             owner = page.parent[owner]
-        for level, k in enumerate(_chain(page, owner)):
-            score[k] = score.get(k, 0) + points / (1, 2, 6, 9, 12, 15, 18)[min(level, 6)]
-    density = lambda k: links.get(k, 0) / max(1, chars.get(k, 0))
+        level[0][owner] += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1, linked / len(text)))
+        counted[owner] += 1
+    for k in range(n - 1, 0, -1):
+        up = page.parent[k]
+        if chars[k] or counted[k]:
+            for d in range(far):
+                level[d + 1][up] += level[d][k]
+            level[far][up] += level[far][k]
+            counted[up] += counted[k]
+            chars[up] += chars[k]
+            links[up] += links[k]
+    return [sum(level[d][k] / LEVELS[d] for d in range(far + 1)) for k in range(n)], counted, chars, links
+
+
+def _down(page: _Page, first: set[int]) -> list[int]:
+    """For every node, the one of ``first`` that it is or lies in, the nearest; 0 for none."""
+    out = [0] * len(page.tag)
+    for k in range(1, len(out)):
+        out[k] = k if k in first else out[page.parent[k]]
+    return out
+
+
+def main_text(source: str | None) -> str:
+    page = _Page(source or "")
+    if not page.blocks:
+        return ""
+    score, counted, chars, links = _points(page)
+    density = lambda k: links[k] / max(1, chars[k])
 
     def total(k: int) -> float:
         weight = 25 * bool(_GOOD.search(page.names[k])) if page.names[k] else 0
         return (score[k] + TAG_POINTS.get(page.tag[k], 0) + weight) * (1 - density(k))
 
-    totals = {k: total(k) for k in score if page.tag[k] not in ("html", "#root")}
+    totals = {k: total(k) for k in range(1, len(page.tag)) if counted[k] and page.tag[k] != "html"}
     if totals:
         best = max(totals, key=lambda k: (totals[k], -k))
     else:
-        named = [k for k in chars if page.tag[k] in ("article", "main")]
-        best = min(named) if named else min(chars, default=0)
+        with_text = [k for k in range(1, len(page.tag)) if chars[k]]
+        best = min([k for k in with_text if page.tag[k] in ("article", "main")] or with_text, default=0)
     article = next((k for k in _chain(page, best) if page.tag[k] in ("article", "main")), None)
-    roots = {article or best}
+    top = article or best
+    roots = {top}
     if best and page.tag[best] != "body":
-        top = article or best
-        for k in {next((x for x in _chain(page, b[0]) if page.parent[x] == page.parent[top]), 0) for b in page.blocks} - {0, top}:
-            text = chars.get(k, 0)
+        level = _down(page, {k for k in range(1, len(page.tag)) if page.parent[k] == page.parent[top]})
+        for k in {level[b[0]] for b in page.blocks} - {0, top}:
             same = page.names[k] and page.names[k] == page.names[top]
             near = totals.get(k, 0) + (0.2 * totals.get(top, 0) if same else 0) >= max(10, 0.2 * totals.get(top, 0))
-            if near and page.tag[k] not in HEADINGS or page.tag[k] == "p" and (text > 80 and density(k) < 0.25):
+            if near and page.tag[k] not in HEADINGS or page.tag[k] == "p" and (chars[k] > 80 and density(k) < 0.25):
                 roots.add(k)
         if article is None:
-            before = [k for k in set(b[0] for b in page.blocks) if page.tag[k] in ("h1", "h2") and page.parent[k] == page.parent[top] and k < top]
-            roots.update(before[-1:])
+            before = [k for k in {b[0] for b in page.blocks} if page.tag[k] in ("h1", "h2") and page.parent[k] == page.parent[top] and k < top]
+            roots |= {max(before)} if before else set()
     if roots == {0}:
         return "\n".join(t for _, t, _ in page.blocks)
-    return "\n".join(t for owner, t, _ in page.blocks if any(k in roots for k in _chain(page, owner)))
+    inside = _down(page, roots)
+    return "\n".join(t for owner, t, _ in page.blocks if inside[owner])
 
 
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
