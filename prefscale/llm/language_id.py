@@ -1,18 +1,25 @@
 """Language identification, word first.
 
-Every word that the model knows votes with its log frequency in each language. An unseen word backs off to its
-character n-grams (bytes of UTF-8, word ends included): the longest length of which it has a known n-gram decides, and
-shorter ones are used only where no longer one is known. Votes add up over the whole text.
+Words are runs of letters and combining marks, lower-cased. Every word that the model knows votes with its log frequency
+in each language. An unseen word backs off to its character n-grams (code points, word ends included): the longest
+length of which it has a known n-gram decides, and shorter ones are used only where no longer one is known. Votes add up
+over the whole text.
 
 The model is learned from a bounded sample: about ``sample`` documents a language, chosen by a hash of doc_id. Words
-and n-grams are counted on the executors; what reaches the driver is bounded by ``max_words`` and the n-gram table.
+and n-grams are counted on the executors; what reaches the driver is bounded by the size of the model: the ``max_words``
+commonest words of the sample in all their languages (others are unseen words), and the n-gram table.
 
-A text that is null or has no letter is ``und`` with score 0; ties go to the language that sorts first; repeated rows
-are judged each for itself; without any labelled row all is ``und``.
+Cases. A text that is null or has no letter is ``und`` with score 0; without any labelled row all is ``und``. A null
+doc_id is not held out, and its row is predicted but not learned from. Ties go to the language that sorts first. Repeated
+rows, and rows that share a doc_id, are judged each for itself. Texts may be of any length and are read whole. Other
+columns pass unread through ``identify``; those with the names of the results are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,21 +36,35 @@ LENGTHS = (5, 4, 3, 2, 1)
 SLOTS = 1 << 17
 UNDETERMINED = "und"
 
-_LETTER = np.zeros(256, bool)
-_LETTER[97:123] = True
-_LETTER[128:] = True
+@functools.cache
+def _letters() -> np.ndarray:
+    """Of every code point, whether it is a letter or a combining mark."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)])
 
 
-def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes of each row with a space before and after, so that n-grams at word ends have room."""
+def _points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of the lower-cased rows, offsets); a space stands before and after each row, so that n-grams at word
+    ends have room."""
     low = pc.utf8_lower(column.fill_null(""))
     low = pc.binary_join_element_wise(" ", low, " ", "")
-    return C.buffer_of(low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low)
-
-
-def _words(buf: np.ndarray, off: np.ndarray):
-    s, e, first = C.word_spans(buf, off, _LETTER)
-    h = C.prefix_hash(np.where(_LETTER[buf], buf, np.uint8(32)))
+    buf, off = C.buffer_of(low.combine_chunks() if isinstance(low, pa.ChunkedArray) else low)
+    head = np.flatnonzero((buf & 0xC0) != 0x80)
+    lead = buf[head].astype(np.uint32)
+    more = np.concatenate([buf, np.zeros(3, np.uint8)]).astype(np.uint32) & 0x3F
+    out = lead.copy()
+    for size, least, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+        own = np.flatnonzero((lead >= least) & (lead < (0x100 if size == 4 else least + (0x100 - least) // 2)))
+        value = lead[own] & mask
+        for k in range(1, size):
+            value = value << 6 | more[head[own] + k]
+        out[own] = value
+    return out, np.searchsorted(head, off)
+
+
+def _words(points: np.ndarray, off: np.ndarray):
+    letter = _letters()
+    s, e, first = C.word_spans(points, off, letter)
+    h = C.prefix_hash(C.mix(np.where(letter[points], points, 32).astype(np.uint64) + np.uint64(1)))
     return s, e, first, h
 
 
@@ -53,7 +74,7 @@ def _grams(h: np.ndarray, s: np.ndarray, e: np.ndarray, n: int) -> tuple[np.ndar
     m = np.maximum(e - s - n + 1, 0)
     word = np.repeat(np.arange(len(s)), m)
     at = np.arange(int(m.sum())) - (np.cumsum(m) - m)[word] + s[word]
-    return (C.span_hash(h, at, at + n) >> np.uint64(47)).astype(np.int64), word
+    return (C.span_hash(h, at, at + n) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64), word
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +84,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in set(langs.tolist()):
                 rows = part.filter(pa.array(langs == lang))
-                s, e, _, h = _words(*_padded(rows.column("text")))
+                s, e, _, h = _words(*_points(rows.column("text")))
                 for n in (0, *LENGTHS):
                     key = C.span_hash(h, s, e).view(np.int64) if n == 0 else _grams(h, s, e, n)[0]
                     key, count = np.unique(key, return_counts=True)
@@ -123,8 +144,7 @@ class Model:
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(votes by row and language, words by row)."""
-        buf, off = _padded(column)
-        s, e, first, h = _words(buf, off)
+        s, e, first, h = _words(*_points(column))
         row = self.row_of(C.span_hash(h, s, e))
         votes = np.zeros((len(s), len(self.langs)), np.float32)
         votes[row >= 0] = self.votes[row[row >= 0]]
@@ -146,7 +166,7 @@ class Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS) -> Model:
     """docs (doc_id, text, lang): rows to learn from."""
-    rows = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    rows = docs.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "text", "lang")
     share = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(share)
     if not langs:
@@ -157,8 +177,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS) -> Mo
         chosen = chosen | ((F.col("lang") == lang) & (draw <= F.lit(int((1 << 20) * min(1, sample / share[lang])))))
     counts = rows.where(chosen).select("text", "lang").mapInArrow(_counted, "lang string, n int, key long, count long")
     counts = counts.groupBy("lang", "n", "key").agg(F.sum("count").alias("count"))
-    words = counts.where("n = 0").orderBy(F.desc("count"), "key", "lang").limit(max_words)
-    got = counts.where("n > 0").union(words).toArrow()
+    counts = C.staged(counts, "language-counts")
+    words = counts.where("n = 0")
+    top = words.groupBy("key").agg(F.sum("count").alias("_n")).orderBy(F.desc("_n"), "key").limit(max_words).select("key")
+    got = counts.where("n > 0").union(words.join(top, "key", "left_semi").select(*counts.columns)).toArrow()
     lang = np.searchsorted(np.array(langs), np.array(got.column("lang").to_pylist())) if got.num_rows else np.zeros(0, np.int64)
     return Model(langs, lang, got.column("n").to_numpy(), got.column("key").to_numpy(), got.column("count").to_numpy())
 
@@ -193,7 +215,8 @@ def identify(docs: DataFrame, model: Model, into: tuple[str, str] = ("lang_pred"
 
 
 def held_out(folds: int, fold: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold
+    """False for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def digest(docs: DataFrame) -> DataFrame:
