@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from prefscale.llm import decontaminate as D
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -75,3 +77,27 @@ def test_empty_tables(spark):
     assert D.digest(d, b).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(r)[:4] for r in D.digest(one, b).collect()] == [(1, 2, 0, 0)]
+
+
+def test_spans_are_cut_exactly(spark):
+    bench = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (2, "tiny item")]
+    docs = [(1, "Before, ONE two three four five six seven eight nine ten eleven-twelve thirteen! after", "x"), (2, "a Tiny  item, and tiny items", "y"), (3, None, "z"), (None, "é tiny.item é", None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _hits string")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    want = [(1, "Before, ! after", "x"), (2, "a , and tiny items", "y"), (3, None, "z"), (None, "é  é", None)]
+    for size in (1 << 20, 20):
+        out = D.clean(d, b, mode="span", block_bytes=size)
+        assert out.columns == d.columns and sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    kept = D.clean(d, b).collect()
+    assert sorted(map(tuple, kept), key=str) == [docs[2]]
+
+
+def test_a_large_benchmark_has_a_small_index():
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(20_000)]
+    items = [(i, " ".join(r.choices(words, k=200))) for i in range(6_000)] + [(9_000 + i, "the same boiler plate " * 50) for i in range(50)]
+    size = sum(len(t) for _, t in items)
+    index = D.Index(items, 13)
+    assert size > 7_000_000 and index.nbytes() < 6 * size
+    found = D._scanned(pa.record_batch({"text": pa.array(["x " + items[5][1].title(), "the same boiler plate " * 4])}), index)
+    assert [x["n_hit"] for x in found] == [200, 16] and found[0]["items"] == ["5"] and len(found[1]["items"]) == 50
