@@ -14,10 +14,15 @@ earlier in the same one. Strings are judged on the input, overlaps count, and no
    those between them before. Intervals of common prefixes of ``length`` bytes are the repeated strings. After the
    shards' own, no suffix is sorted again. Every string that matters starts at an anchor or at most 68 bytes before, so
    that many refinements are enough, and one suffix of a context takes part in each.
+   Contexts that are equal as a whole don't take part; they are told by two 64-bit hashes, of the anchor and of the whole
+   context, without a look at the bytes. The first interleave is a sorted merge of the shards' suffixes.
 3. Covered ranges of each document are united and cut.
 
-Rows that share a doc_id are told apart by a hash of their text; equal rows are one document. A null or empty text has
-no bytes; an empty table gives no rows.
+Cases. A null or empty text has no bytes. Rows that share a doc_id are told apart by a hash of their text and come in the
+order of that; equal rows are one document, of which nothing goes on account of the other. A row without an id stands
+among the others at a place that a hash of its text gives. Of equal strings, the first by (doc_id, start) stays, so that
+there are no ties. Texts may be of any length up to 4 GB and are read whole. Other columns are not read, nor returned.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -87,7 +92,7 @@ def _marked(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["fp", "ctx", "doc_id", "at"])
 
-    return docs.where("doc_id is not null").mapInArrow(mark, "fp long, ctx long, doc_id long, at long")
+    return docs.select("doc_id", "text", "x").mapInArrow(mark, "fp long, ctx long, doc_id long, at long")
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ def _merged(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iter
 def _covered(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame]:
     """(docs dealt by doc_id, their covered ranges (doc_id, ranges))."""
     left = length - anchor
-    own = docs.select("doc_id", "text", F.hash("text").alias("x"))
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.hash("text").alias("x"))
     marks = _marked(own, length, anchor).repartition("fp").sortWithinPartitions("fp", "ctx", "doc_id", "at")
     marks = C.staged(marks.mapInArrow(_repeats, "fp long, doc_id long, at long"), "suffix-anchors")
     dealt = own.repartition(C.partitions(docs.sparkSession), "doc_id")
@@ -261,7 +266,7 @@ def _covered(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, Data
                                 col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["fp", "doc_id", "at", "left", "ctx"])
 
-    contexts = dealt.join(probes, "doc_id").mapInArrow(cut, "fp long, doc_id long, at long, left int, ctx binary")
+    contexts = dealt.drop("id").join(probes, "doc_id").mapInArrow(cut, "fp long, doc_id long, at long, left int, ctx binary")
     contexts = contexts.repartition("fp").sortWithinPartitions("fp", "doc_id", "at")
     merged = contexts.mapInArrow(lambda it: _merged(it, length, anchor), "doc_id long, at long, to long")
     pos = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
@@ -297,11 +302,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
                     spans.append(edge)
                     kept.append(text[~gone].tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(off), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"]
+                    [part.column("id"), pa.array(np.diff(off), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"]
                 )
 
     empty = F.array().cast("array<struct<at:long,to:long>>")
-    both = dealt.join(covered, "doc_id", "left").select("doc_id", "text", "x", F.coalesce("ranges", empty).alias("ranges"))
+    both = dealt.join(covered, "doc_id", "left").select("id", "text", "x", F.coalesce("ranges", empty).alias("ranges"))
     return both.mapInArrow(finish, "doc_id long, n_bytes long, spans array<long>, kept binary")
 
 

@@ -99,3 +99,16 @@ def test_repeated_rows_and_empty(spark):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in S.digest(df).collect())
     assert got == [(1, len(t), 0), (1, len(t), 0), (1, len(t) + 1, 0), (2, len(t), len(t))]
     assert S.digest(df.where("doc_id = 9")).count() == 0
+
+
+def test_rows_without_an_id_stand_at_a_hash(spark):
+    from pyspark.sql import functions as F
+
+    docs = corpus(9, 60)
+    docs = [(None if k % 3 == 0 else d, t) for k, (d, t) in enumerate(docs)]
+    docs = [x for k, x in enumerate(docs) if x[0] is not None or x not in docs[:k]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    place = {(r.doc_id, r.text): r.p for r in df.withColumn("p", F.coalesce("doc_id", F.xxhash64("text"))).collect()}
+    told = {d: x for d, *x in brute([(place[x], x[1]) for x in docs])}
+    want = [(d, *told[place[d, t]]) for d, t in docs]
+    assert sorted(map(tuple, S.digest(df).collect()), key=str) == sorted(want, key=str)
