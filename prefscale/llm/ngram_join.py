@@ -15,8 +15,11 @@ there are fewer). Two documents link when the Jaccard similarity of their sets r
 5. the forests' components hold all pairs that may still link. In each, documents meet in pairs of blocks, a tree with
    wide bitmaps proposes pairs, and whole sets decide; links that join two classes are kept.
 
-Documents without words or text have an empty set and link with nothing. Repeated rows are equal sets; rows that share
-a doc_id are one document for reachability; an empty table gives no rows.
+Cases. Documents without words or text have an empty set and link with nothing. Repeated rows are equal sets, which link.
+Where ids are null or shared, every row is a document of its own; a component is named by the smallest id in it, and by
+null if it has none. Texts may be of any length and are read whole. Candidates are tried in the order of their sizes and
+ids, ties don't matter to the result. Other columns are not read by ``classes`` and pass ``first_of_each`` unread,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -107,25 +110,9 @@ def _sketches(docs: DataFrame, words: int, percent: int, hot=None, bitmaps: bool
 # ---------------------------------------------------------------- buckets
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Whole groups of a partition that is sorted by key, many at a time: columns with complete keys only."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        k = table.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1], side="left")) if len(k) else 0
-        rest = table.slice(cut)
-        if cut:
-            yield table.slice(0, cut).combine_chunks()
-    if rest is not None and rest.num_rows:
-        yield rest.combine_chunks()
-
-
 def _likely(batches: Iterator[pa.RecordBatch], percent: int, least_hot: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (token, n, vid): pairs of each document and the first of its bucket that its size allows; hot tokens."""
-    for t in _groups(batches, "token"):
+    for t in C.whole_groups(batches, "token"):
         token, vid, n = (t.column(c).to_numpy() for c in ("token", "vid", "n"))
         head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         size = np.diff(np.append(head, len(token)))
@@ -152,7 +139,7 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int, least_hot: int) ->
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of buckets whose documents lie in several components."""
-    for t in _groups(batches, "token"):
+    for t in C.whole_groups(batches, "token"):
         token, comp = t.column("token").to_numpy(), t.column("comp").to_numpy()
         head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         size = np.diff(np.append(head, len(token)))
@@ -273,7 +260,7 @@ class SignatureTree:
 
 def _traverse(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Forests of the buckets."""
-    for t in _groups(batches, "token"):
+    for t in C.whole_groups(batches, "token"):
         token, vid, comp = (t.column(c).to_numpy() for c in ("token", "vid", "comp"))
         n, bits = t.column("n").to_numpy().astype(np.int64), t.column("bits").to_pylist()
         head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -331,7 +318,7 @@ def _decided(clusters: DataFrame, comp: DataFrame, docs: DataFrame, words: int,
     met = met.select(pair, "vid", "block", "comp", (F.col("block") == F.col("other")).alias("own"), "text")
 
     def judge(batches):
-        for t in _groups(batches, "pair"):
+        for t in C.whole_groups(batches, "pair"):
             vid, block, comp = (t.column(c).to_numpy() for c in ("vid", "block", "comp"))
             own, pair = t.column("own").to_numpy(zero_copy_only=False), t.column("pair").to_numpy()
             head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
@@ -363,10 +350,33 @@ def _decided(clusters: DataFrame, comp: DataFrame, docs: DataFrame, words: int,
 # ---------------------------------------------------------------- operator
 
 
+def _plain(docs: DataFrame) -> bool:
+    """Whether no id is null or shared."""
+    return docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty()
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, in a column of the name that is returned."""
+    name = C.free_name(docs, "_row")
+    return C.staged(docs.withColumn(name, F.monotonically_increasing_id()), "ngram-rows"), name
+
+
 def classes(docs: DataFrame, words: int = 5, percent: int = 80, hot_buckets: int = HOT_BUCKETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
+    if _plain(docs):
+        return _classes(docs, words, percent, hot_buckets)
+    rows, name = _numbered(docs)
+    told = _classes(rows.select(F.col(name).alias("doc_id"), "text"), words, percent, hot_buckets)
+    told = told.select(F.col("doc_id").alias("_k"), "n_shingles", F.col("component_id").alias("_c"))
+    told = rows.select(name, "doc_id").join(told, F.col(name) == F.col("_k"))
+    names = told.groupBy("_c").agg(F.min("doc_id").alias("component_id"))
+    return told.join(names, "_c").select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame, words: int, percent: int, hot_buckets: int) -> DataFrame:
+    """The classes of documents whose ids are neither null nor shared."""
+    spark = docs.sparkSession
     sketch = C.staged(_sketches(docs, words, percent), "ngram-sketches")
     sets = sketch.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("vid"))
     sets = C.staged(sets, "ngram-classes")
@@ -410,23 +420,19 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80, hot_buckets: int
     return out.select("doc_id", "n_shingles", F.coalesce("root", "vid", "doc_id").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each component: the one whose id is the component's; all columns kept.
-
-    Where ids are null or reused, every row is a document of its own: rows are numbered in the order of their ids, nulls
-    last, and the first row of each component stays, whatever the other rows of its id hold. Of rows without words, one of each
-    id stays, and all without an id."""
-    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        kept = classes(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-        return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
-    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
-    rows = C.staged(rows, "ngram-rows")
-    kept = classes(rows.select(F.col("_row").alias("doc_id"), "text"), **options).where("doc_id = component_id")
-    kept = C.staged(kept.select(F.col("doc_id").alias("_kept"), "n_shingles"), "ngram-kept")
-    # Rows without words have no likeness; of those of one id one stays, too.
-    bare = rows.select("_row", "doc_id").join(kept.where("n_shingles = 0"), F.col("_row") == F.col("_kept")).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_row")))
-    kept = kept.where("n_shingles > 0").select("_kept").union(bare.agg(F.min("_row").alias("_kept")).select("_kept"))
-    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").drop("_row")
+def first_of_each(docs: DataFrame, words: int = 5, percent: int = 80, hot_buckets: int = HOT_BUCKETS) -> DataFrame:
+    """docs with one document of each component: the one with the smallest id, rows without an id last; all columns kept.
+    Rows without words are like nothing and all stay. Where ids are null or shared, every row is a document of its own."""
+    if _plain(docs):
+        kept = _classes(docs.select("doc_id", "text"), words, percent, hot_buckets).where("doc_id = component_id")
+        return docs.join(kept.select(F.col("doc_id").alias("_kept")), docs["doc_id"] == F.col("_kept"), "left_semi")
+    rows, name = _numbered(docs)
+    told = _classes(rows.select(F.col(name).alias("doc_id"), "text"), words, percent, hot_buckets)
+    told = told.select(F.col("doc_id").alias("_k"), "n_shingles", F.col("component_id").alias("_c"))
+    told = told.join(rows.select(F.col(name).alias("_n"), F.col("doc_id").alias("_id")), F.col("_k") == F.col("_n"))
+    first = told.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_k").alias("k"))).alias("first"))
+    kept = C.staged(first.select(F.col("first.k").alias("_kept")), "ngram-kept")
+    return rows.join(kept, rows[name] == kept["_kept"], "left_semi").drop(name)
 
 
 ORACLE = r"""

@@ -97,7 +97,7 @@ def test_components(spark):
 
 def test_first_of_each_and_empty(spark):
     df = spark.createDataFrame([(3, "a b c d e f", "x"), (1, "A b c d e f", "y"), (7, None, "z"), (7, None, "z")], "doc_id long, text string, component_id string")
-    assert sorted(map(tuple, J.first_of_each(df).collect())) == [(1, "A b c d e f", "y"), (7, None, "z")]
+    assert sorted(map(tuple, J.first_of_each(df).collect())) == [(1, "A b c d e f", "y"), (7, None, "z"), (7, None, "z")]
     assert J.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -108,4 +108,29 @@ def test_first_of_each_keeps_clean_rows_of_null_and_reused_ids(spark):
     rows += [(None, text(4), "f"), (None, text(4) + " z", "f"), (None, text(2), "g"), (None, text(5), "h"), (None, None, "i"), (None, "", "i"), (11, "", "j"), (11, None, "j")]
     df = spark.createDataFrame(rows, "doc_id long, text string, tag string")
     got = sorted((r.tag for r in J.first_of_each(df).collect()))
-    assert got == ["a", "b", "d", "f", "h", "i", "i", "j"]
+    assert got == ["a", "b", "d", "f", "h", "i", "i", "j", "j"]
+
+
+def test_null_and_shared_ids(spark):
+    docs = [x for x in corpus(6)[:60]]
+    docs += [(None, docs[0][1]), (None, docs[5][1]), (docs[3][0], docs[4][1]), (docs[3][0], docs[3][1]), (None, "only here at all"), (None, "only here at all"), (None, None)]
+    df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, _row int")
+    rows = brute([(k, t) for k, (_, t) in enumerate(docs)], 3, 90)
+    least = {}
+    for k, _, root in rows:
+        least[root] = min([x for x in (least.get(root), docs[k][0]) if x is not None], default=None)
+    want = [(docs[k][0], n, least[root]) for k, n, root in rows]
+    assert sorted(map(tuple, J.classes(df, 3, 90).collect()), key=str) == sorted(want, key=str)
+    kept = J.first_of_each(df, 3, 90)
+    assert kept.columns == df.columns and kept.count() == len({root for _, _, root in rows})
+
+
+def test_whole_groups_in_any_batches():
+    import pyarrow as pa
+    from prefscale.llm import common as C
+
+    key = [1] * 3 + [2] + [5] * 7 + [6, 7, 7]
+    for step in (1, 2, 3, 5, 14):
+        batches = [pa.record_batch({"k": pa.array(key[a : a + step], pa.int64())}) for a in range(0, len(key), step)]
+        got = [t.column("k").to_pylist() for t in C.whole_groups(iter(batches), "k")]
+        assert sum(got, []) == key and all(a[-1] != b[0] for a, b in zip(got, got[1:]))
