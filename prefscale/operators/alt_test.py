@@ -7,6 +7,8 @@ difference, and every margin epsilon is tested on those.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,11 +25,12 @@ def _score(kind: str, own: Column, n: Column, s: Column, q: Column, same: Column
     return -(own * own * (n - 1) - 2 * own * (s - less) + (q - less * less))
 
 
-def instance_stats(humans: DataFrame, model: DataFrame, scoring: str = "accuracy", least_humans: int = 2, decision: str = "decision", by: str = "rater", unit: str = "pair_id") -> DataFrame:
+def instance_stats(humans: DataFrame, model: DataFrame, scoring: str | Callable[[float, list[float]], float] = "accuracy", least_humans: int = 2, decision: str = "decision", by: str = "rater", unit: str = "pair_id") -> DataFrame:
     """(unit, by, llm_wins, human_wins): for each human and instance, 1 if the model (the human) scores at least as well
-    against the other humans as the human (the model) does."""
-    if scoring not in ("accuracy", "neg_rmse"):
-        raise ValueError("scoring is 'accuracy' or 'neg_rmse'")
+    against the other humans as the human (the model) does. A callable gets a value (0, 1, 0.5 for ties) and those of the
+    other humans; it runs on the distinct cases, which are few."""
+    if not callable(scoring) and scoring not in ("accuracy", "neg_rmse"):
+        raise ValueError("scoring is 'accuracy', 'neg_rmse' or a callable")
     h = humans.select(unit, by, D.value(D.normalize(decision, "alt_test")).alias("y")).where("y is not null")
     m = model.select(unit, D.value(D.normalize(decision, "alt_test")).alias("l")).where("l is not null")
     w = Window.partitionBy(unit)
@@ -35,6 +38,19 @@ def instance_stats(humans: DataFrame, model: DataFrame, scoring: str = "accuracy
     x = h.where((F.col("n") >= least_humans) & (F.col("n") >= 2)).join(m, unit)
     count = lambda v: F.when(v == 0.0, F.col("c0")).when(v == 1.0, F.col("c1")).otherwise(F.col("c2"))
     y, l = F.col("y"), F.col("l")
+    if callable(scoring):
+        less = lambda v, k: F.col(f"c{k}") - (y == v).cast("int")
+        case = [F.col(unit), F.col(by), y, l, *(less(v, k).alias(f"o{k}") for k, v in enumerate((0.0, 1.0, 0.5)))]
+        x = x.select(*case)
+
+        @F.pandas_udf("double")
+        def scored(own: pd.Series, o0: pd.Series, o1: pd.Series, o2: pd.Series) -> pd.Series:
+            return pd.Series([float(scoring(v, [0.0] * a + [1.0] * b + [0.5] * c)) for v, a, b, c in zip(own, o0, o1, o2)], dtype="float64")
+
+        kinds = x.select("y", "l", "o0", "o1", "o2").distinct()
+        kinds = kinds.withColumns({"human": scored("y", "o0", "o1", "o2"), "llm": scored("l", "o0", "o1", "o2")})
+        x = x.join(kinds, ["y", "l", "o0", "o1", "o2"])
+        return x.select(unit, by, (F.col("llm") >= F.col("human")).cast("int").alias("llm_wins"), (F.col("human") >= F.col("llm")).cast("int").alias("human_wins"))
     human = _score(scoring, y, F.col("n"), F.col("s"), F.col("q"), count(y) - 1, y)
     llm = _score(scoring, l, F.col("n"), F.col("s"), F.col("q"), count(l) - (l == y).cast("int"), y)
     return x.select(unit, by, (llm >= human).cast("int").alias("llm_wins"), (human >= llm).cast("int").alias("human_wins"))
@@ -74,6 +90,15 @@ def alt_test(humans: DataFrame, model: DataFrame, epsilon: float = 0.1, q: float
     return t.agg(F.try_divide(F.count_if("rejected"), F.count("*")).alias("winning_rate"), F.avg("advantage").alias("advantage"), F.count("*").alias("tested"))
 
 
+def alt_test_models(humans: DataFrame, models: DataFrame, names: list[str], by: str = "rater", **options) -> DataFrame:
+    """(model, winning_rate, advantage, tested) of each named model."""
+    out = None
+    for name in names:
+        t = alt_test(humans, models.where(F.col(by) == name), by=by, **options).select(F.lit(name).alias("model"), "*")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
 def epsilon_sweep(humans: DataFrame, model: DataFrame, lo: float = -0.1, hi: float = 0.25, step: float = 0.01, q: float = 0.05, by: str = "rater", **options) -> DataFrame:
     """(epsilon, winning_rate) over a range of margins, all from one aggregation. The range may pass hi by a step."""
     import math

@@ -16,6 +16,8 @@ def classify(scores: DataFrame, score: str = "score", method: str = "kmeans", cl
     if method == "mean":
         m = scores.where(ok).agg(F.avg(score).alias("_m"))
         return scores.join(F.broadcast(m)).withColumn(into, F.when(ok, (F.col(score) > F.col("_m")).cast("int")).otherwise(-1)).drop("_m")
+    if method == "hdbscan":
+        raise ImportError("hdbscan isn't part of this engine, as Spark has no density clustering; take 'kmeans', 'gmm' or 'mean'")
     if method not in ("kmeans", "gmm"):
         raise ValueError("method is 'kmeans', 'gmm' or 'mean'")
     x = VectorAssembler(inputCols=[score], outputCol="_x", handleInvalid="skip")

@@ -14,10 +14,14 @@ BETWEENNESS_EDGES = 200_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder of the session; a folder of our own only where none is set."""
+    """df with its lineage cut, in the shared folder of the session; a folder of our own only where none is set and the
+    master is local, as executors of a cluster share no local folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/prefscale-checkpoints")
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(path or "/tmp/prefscale-checkpoints")
     return df.checkpoint()
 
 

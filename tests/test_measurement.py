@@ -105,6 +105,34 @@ def test_reasoning():
         f("openai", 3)
 
 
+@pytest.mark.parametrize("provider, names", [("google", ["GEMINI_API_KEY", "GOOGLE_API_KEY", "GENAI_API_KEY"]), ("openai", ["OPENAI_API_KEY"]), ("anthropic", ["ANTHROPIC_API_KEY"]), ("huggingface", ["HUGGINGFACE_API_KEY", "HF_TOKEN"])])
+def test_keys_in_order(monkeypatch, provider, names):
+    for own in judge.KEY_VARIABLES.values():
+        for v in own:
+            monkeypatch.delenv(v, raising=False)
+    with pytest.raises(ValueError, match=names[0]):
+        judge.Judge("m", provider=provider)
+    late = judge.Judge("m", provider=provider, check=False)
+    with pytest.raises(ValueError, match="needs a key"):
+        late.ask("x")
+    assert judge.Judge("m", provider=provider, api_key="given").api_key == "given"
+    for v in reversed(names):
+        monkeypatch.setenv(v, v.lower())
+        assert judge.Judge("m", provider=provider).api_key == v.lower()
+    monkeypatch.setenv(names[0], "")
+    if len(names) > 1:
+        assert judge.Judge("m", provider=provider).api_key == names[1].lower()
+    with pytest.raises(ValueError, match="unknown provider"):
+        judge.Judge("m", provider="other")
+
+
+def test_a_connector_is_made_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(judge, "connector", lambda j: made.append(j) or (lambda *a, **k: "yes"))
+    j = judge.Judge("only-once", provider="openai", api_key="k")
+    assert [j.ask("a"), j.ask("b"), judge.Judge("only-once", provider="openai", api_key="k").ask("c")] == ["yes"] * 3 and len(made) == 1
+
+
 def test_judge_retries_without_temperature():
     seen = []
 
@@ -359,6 +387,8 @@ def test_classes(spark):
 def test_costs(spark):
     items = spark.createDataFrame([("a", "one two three")], "item_id string, text string")
     assert costs.price_of("gpt-5-mini-2025") == (0.25, 2.0) and costs.price_of("gpt-5") == (1.25, 10.0)
+    assert all(costs.price_of(f"x/{name.upper()}@y") == price for name, price in costs.PRICES.items()) and len(costs.PRICES) == 60
+    assert costs.price_of("gpt-5.6-sol") == (4.0, 20.0) and costs.price_of("unknown") is None
     r = costs.estimate(items, None, ["gpt-5"], ["p {text}"], "breakdown").first()
     assert r.tokens_out == 200 and r.cost > 0
     with pytest.raises(ValueError):
@@ -401,6 +431,14 @@ def test_session(spark, tmp_path):
     m.save()
     again = Measurement.load(spark, str(tmp_path / "run"))
     assert again.pairwise.count() == m.pairwise.count() and again.judges[0].model == "offline" and again.models == ["decision"]
+    assert again.breakdowns.count() == m.breakdowns.count() == 11 - 1 and again.pairs.count() == m.pairs.count()
+    n = again.pairwise.count()
+    again.save(str(tmp_path / "run"))
+    again.classify("decision", classes=2)
+    again.save(str(tmp_path / "run"))
+    third = Measurement.load(spark, str(tmp_path / "run"))
+    assert third.data.count() == 11 and third.pairwise.count() == n and third.scored.where("cluster is not null").count() == 11
+    assert again.alt_test(all_models=True, least_humans=1).count() == 1
     assert m.test_clients("x") == {"offline": True} and m.clients_info(spark).count() == 1
     assert m.network().count() == 11 and m.estimate_costs(price=(1.0, 1.0)).count() == 2 and m.wide().columns == ["item1", "item2", "human_a", "decision"]
     with pytest.raises(IndexError):
@@ -424,7 +462,7 @@ def test_from_pairs_and_sources(spark, tmp_path):
     for path, error in (("x.pkl", ValueError), (str(tmp_path), FileNotFoundError)):
         with pytest.raises(error):
             tables.load_run(spark, path)
-    tables.save_run(str(tmp_path / "r"), {"models": ["a"], "api_keys": ["s"]}, {"data": m.data})
+    tables.save_run("file://" + str(tmp_path / "r"), {"models": ["a"], "api_keys": ["s"]}, {"data": m.data})
     meta, got = tables.load_run(spark, str(tmp_path / "r"))
     assert "api_keys" not in meta and meta["version"] == "1.0" and got["scored"] is None
     with pytest.raises(ValueError):
