@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from prefscale.functions import decisions as D
 from prefscale.functions import distributions as P
+from prefscale.operators.graph import checkpointed
 
 
 def transitivity(decisions: DataFrame, decision: str = "decision", by: str = "rater", order: str | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def transitivity(decisions: DataFrame, decision: str = "decision", by: str = "ra
     r = F.when(F.col("_d") == "Tie", 0.5).when((F.col("_d") == "Text1") == up, 1.0).otherwise(0.0)
     rank = F.col(order) if order else F.lit(0)
     e = d.select(by, F.least("item1", "item2").alias("a"), F.greatest("item1", "item2").alias("b"), F.struct(rank.alias("o"), r.alias("r")).alias("s"))
-    e = e.groupBy(by, "a", "b").agg(F.max("s")["r"].alias("r"))
+    e = checkpointed(e.groupBy(by, "a", "b").agg(F.max("s")["r"].alias("r")))
     ab, bc, ac = (e.select(by, F.col("a").alias(x), F.col("b").alias(y), F.col("r").alias(x + y)) for x, y in ("ab", "bc", "ac"))
     t = ab.join(bc, [by, "b"]).join(ac, [by, "a", "c"])
     x, y, z = F.col("ab"), F.col("bc"), F.col("ac")
@@ -114,7 +115,8 @@ def icc_components(decisions: DataFrame, decision: str = "decision", by: str = "
         for code, x in mapping.items():
             v = F.when(F.col(decision).cast("string") == str(code), F.lit(float(x))).otherwise(v)
     r = decisions.select(unit, F.col(by).alias("rater"), v.alias("v")).where("v is not null")
-    r = r.withColumn("m", F.count("*").over(Window.partitionBy(unit))).where("m >= 2")
+    # Three aggregations read it.
+    r = checkpointed(r.withColumn("m", F.count("*").over(Window.partitionBy(unit))).where("m >= 2"))
     rows, cols = r.groupBy(unit).agg(F.avg("v").alias("mean")), r.groupBy("rater").agg(F.avg("v").alias("mean"))
     one = r.agg(F.avg("v").alias("grand"), F.sum(F.col("v") * F.col("v")).alias("sq"), F.sum("v").alias("s"), F.count("*").alias("cells"))
     rr = rows.agg(F.count("*").alias("n"), F.sum("mean").alias("rs"), F.sum(F.col("mean") * F.col("mean")).alias("rq"))

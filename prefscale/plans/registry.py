@@ -64,7 +64,8 @@ def decided(spark: SparkSession, d: str, raters: dict[str, int] = RATERS) -> Dat
     slip, gone = _hash(1, *key) % 100 < F.col("noise"), _hash(9, *key) % 100 < MISSING
     decision = F.when(gone & F.col("rater").startswith("human"), F.lit(None)).when(slip, D.swapped(own)).otherwise(own)
     pair_id = F.md5(F.concat_ws("|", F.col("item1").cast("string"), F.col("item2").cast("string")))
-    return p.select(pair_id.alias("pair_id"), "item1", "item2", "rater", decision.alias("decision"))
+    # Most queries read decisions several times.
+    return graph.checkpointed(p.select(pair_id.alias("pair_id"), "item1", "item2", "rater", decision.alias("decision")))
 
 
 def untied(spark: SparkSession, d: str) -> DataFrame:

@@ -209,6 +209,13 @@ def test_fixed_point_residual():
     assert np.abs(flow - 0.1 * 30 * (s - 1)).max() < 1e-8
 
 
+def test_fits_that_don_t_converge_are_errors(monkeypatch):
+    monkeypatch.setattr(scoring, "ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="still move"):
+        scoring.fit_bradley_terry(np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([9.0, 2.0, 5.0]), 4)
+    scoring.fit_bradley_terry(np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([9.0, 2.0, 5.0]), 4, rounds=3)
+
+
 def test_davidson_is_the_likelihood_s_top():
     r = np.random.default_rng(2)
     true = r.normal(size=8)
