@@ -135,7 +135,14 @@ def split_pairs(spark, d):
     return pairing.generate_pairings(items(spark, d), 6, make_splits=True)
 
 
-@query()
+@query(f"""WITH {_SPLIT},
+pos AS (SELECT item_id AS id, split, row_number() OVER (PARTITION BY split ORDER BY md5('42|' || item_id), item_id) - 1 AS pos, count(*) OVER (PARTITION BY split) AS n FROM split),
+own AS (SELECT DISTINCT least(a.id, b.id) AS item1, greatest(a.id, b.id) AS item2 FROM (SELECT *, unnest(range(1, 4)) AS step FROM pos) a JOIN pos b ON b.split = a.split AND b.pos = (a.pos + a.step) % a.n),
+most AS (SELECT coalesce(max(n), 0) AS most FROM (SELECT count(*) AS n FROM (SELECT item1 AS i FROM own UNION ALL SELECT item2 FROM own) GROUP BY i)),
+m AS (SELECT * FROM (SELECT item_id AS id, split, row_number() OVER (PARTITION BY split ORDER BY md5('mix42|' || item_id), item_id) - 1 AS pos FROM split), most WHERE pos < 2 + most),
+x AS (SELECT least(a.id, b.id) AS item1, greatest(a.id, b.id) AS item2, a.split AS split_a, b.split AS split_b FROM m a JOIN m b ON a.split < b.split),
+f AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.item1 = x.item1 AND own.item2 = x.item2))
+SELECT item1, item2, split_a, split_b FROM (SELECT *, row_number() OVER (PARTITION BY split_a, split_b ORDER BY md5('mixed42|' || item1 || '|' || item2), item1, item2) AS k FROM f) WHERE k <= 3""")
 def mixed_pairs(spark, d):
     split = pairing.split_items(items(spark, d).select("item_id").distinct())
     own = pairing.pair_items(split, 6, within=("split",))
@@ -167,9 +174,12 @@ def compare_pairs(spark, d):
     return judge.compare(p, judge.Judge("offline", judge.offline_send), "length", ties=True).select("item1", "item2", "model", "decision")
 
 
-@query()
+@query("""WITH t AS (SELECT doc_id AS item_id, coalesce(max(text), 'None') AS text FROM documents GROUP BY doc_id),
+a AS (SELECT *, 'note ' || substr(md5('What is ' || text), 1, 8) AS a1 FROM t)
+SELECT item_id, 'offline' AS model, 'Original Text: ' || text || chr(10) || a1 || chr(10) || 'note ' || substr(md5('More on ' || text || ' after ' || a1), 1, 8) AS breakdown FROM a""")
 def breakdowns(spark, d):
-    return judge.breakdowns(items(spark, d), ["What is {text}?", "More on {text} after {previous_answers}"], judge.Judge("offline", judge.offline_send))
+    t = items(spark, d).groupBy("item_id").agg(F.max("text").alias("text"))
+    return judge.breakdowns(t, ["What is {text}", "More on {text} after {previous_answers}"], judge.Judge("offline", judge.offline_send))
 
 
 _ANSWERS = {0: "FINAL ANSWER: Description 1", 1: "**final answer:**\\nDescription 2.", 2: "so it is a Tie", 3: "Final  Answer is qualities", 4: "Description 1 it may be, or not", 5: "no idea"}
@@ -266,23 +276,49 @@ def krippendorff_standard(spark, d):
     return _round(agreement.krippendorff_alpha(decided(spark, d), compat=False), "observed", "expected", "alpha")
 
 
-@query()
+def _band_sql(score: str) -> str:
+    return "CASE " + " ".join(f"WHEN {score} >= {least} THEN '{name}'" for least, name in D.KAPPA_BANDS) + " ELSE 'poor' END"
+
+
+def _alpha_of(where: str) -> str:
+    return f"""(SELECT 1 - (off / n) / (4 * 2 * (c0 * c1 + c0 * c2 + c1 * c2) / (n * (n - 1))) AS score FROM (
+  SELECT sum((2.0 * (c0 * c1 + c0 * c2 + c1 * c2)) / (n - 1)) AS off, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(c0) AS DOUBLE) AS c0, CAST(sum(c1) AS DOUBLE) AS c1, CAST(sum(c2) AS DOUBLE) AS c2
+  FROM (SELECT count(*) AS n, count(*) FILTER (decision = 'Text1') AS c0, count(*) FILTER (decision = 'Text2') AS c1, count(*) FILTER (decision = 'Tie') AS c2
+        FROM decided WHERE decision IS NOT NULL AND {where} GROUP BY pair_id) WHERE n >= 2))"""
+
+
+@query(f"""WITH {DECISIONS_SQL},
+k AS (SELECT a.decision AS a, b.decision AS b, count(*) AS n FROM decided a JOIN decided b ON a.pair_id = b.pair_id AND a.rater = 'decision' AND b.rater = 'decision_b' GROUP BY 1, 2),
+s AS (SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(n) FILTER (a = b) AS DOUBLE) AS same FROM k),
+x AS (SELECT CAST(sum(p.x * q.y) AS DOUBLE) AS xy FROM (SELECT a AS v, sum(n) AS x FROM k GROUP BY a) p JOIN (SELECT b AS v, sum(n) AS y FROM k GROUP BY b) q USING (v)),
+o AS (SELECT 'human' AS "group", 'krippendorff_alpha' AS method, score FROM {_alpha_of("rater LIKE 'human%'")}
+  UNION ALL SELECT 'llm', 'cohens_kappa', (same / n - xy / (n * n)) / (1 - xy / (n * n)) FROM s, x
+  UNION ALL SELECT 'all', 'krippendorff_alpha', score FROM {_alpha_of("true")})
+SELECT "group", method, round(score, 6) AS score, {_band_sql("score")} AS interpretation FROM o""")
 def irr(spark, d):
     return _round(agreement.irr(decided(spark, d), {"human": list(HUMANS), "llm": list(MODELS), "all": list(RATERS)}), "score")
 
 
-@query(f"""WITH {DECISIONS_SQL},
+_ICC = f"""WITH {DECISIONS_SQL},
 r AS (SELECT pair_id, rater, CASE decision WHEN 'Text1' THEN 0.0 WHEN 'Text2' THEN 1.0 ELSE 0.5 END::DOUBLE AS v, count(*) OVER (PARTITION BY pair_id) AS m FROM decided WHERE decision IS NOT NULL),
 o AS (SELECT * FROM r WHERE m >= 2), g AS (SELECT avg(v) AS g, count(*) AS cells FROM o),
 n AS (SELECT count(DISTINCT pair_id) AS n, count(DISTINCT rater) AS k FROM o),
 ssr AS (SELECT sum((x - g) * (x - g)) AS s FROM (SELECT avg(v) AS x FROM o GROUP BY pair_id), g),
 ssc AS (SELECT sum((x - g) * (x - g)) AS s FROM (SELECT avg(v) AS x FROM o GROUP BY rater), g),
-sst AS (SELECT sum((v - g) * (v - g)) AS s FROM o, g)
-SELECT n, k, round(k * ssr.s / (n - 1), 6) AS msr, round(n * ssc.s / (k - 1), 6) AS msc, round((sst.s - k * ssr.s - n * ssc.s) / ((n - 1) * (k - 1)), 6) AS mse FROM n, ssr, ssc, sst""")
+sst AS (SELECT sum((v - g) * (v - g)) AS s FROM o, g),
+c AS (SELECT n, k, k * ssr.s / (n - 1) AS msr, n * ssc.s / (k - 1) AS msc, (sst.s - k * ssr.s - n * ssc.s) / ((n - 1) * (k - 1)) AS mse FROM n, ssr, ssc, sst)"""
+
+
+@query(_ICC + " SELECT n, k, round(msr, 6) AS msr, round(msc, 6) AS msc, round(mse, 6) AS mse FROM c")
 def icc_components(spark, d):
     return _round(agreement.icc_components(decided(spark, d)), "msr", "msc", "mse")
 
 
+@query(_ICC + " SELECT n, k, round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) AS icc, round(msr / mse, 4) AS f_stat FROM c")
+def icc_point(spark, d):
+    return _round(agreement.icc(decided(spark, d)), "icc").select("n", "k", "icc", F.round("f_stat", 4).alias("f_stat"))
+
+
 @query()
 def icc(spark, d):
     return _round(agreement.icc(decided(spark, d)), "icc", "f_stat", "p_value", "ci_lo", "ci_hi")
@@ -302,14 +338,32 @@ def bt_scores(spark, d):
     return _round(scoring.bradley_terry(untied(spark, d), items(spark, d)), "raw", "score", "se")
 
 
+@query(f"""WITH {DECISIONS_SQL}, i AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
+SELECT rater, n, 0.0::DOUBLE AS residual FROM (SELECT DISTINCT rater FROM decided WHERE decision IN ('Text1', 'Text2')), i""")
+def bt_residual(spark, d):
+    """How far, at most, the strengths of a rater are from the fixed point: what an item wins less what it loses, less
+    the pull towards the mean; to six digits, none."""
+    x = untied(spark, d)
+    s = graph.checkpointed(scoring.bradley_terry(x, items(spark, d)).select("rater", "item_id", F.exp("raw").alias("w")))
+    of = s.groupBy("rater").agg(F.avg("w").alias("mean"), F.count("*").alias("n"))
+    s = s.join(F.broadcast(of), "rater").select("rater", "item_id", "n", (F.col("w") / F.col("mean")).alias("w"))
+    e = scoring.wins(x, by=("rater",)).withColumns({c: F.col(c).cast("string") for c in ("winner", "loser")}).withColumnRenamed("n", "k")
+    for c in ("winner", "loser"):
+        e = e.join(s.select("rater", F.col("item_id").alias(c), F.col("w").alias(f"w_{c}")), ["rater", c])
+    f = F.col("k") * F.col("w_loser") / (F.col("w_winner") + F.col("w_loser"))
+    flow = e.select("rater", F.explode(F.array(F.struct(F.col("winner").alias("i"), f.alias("f")), F.struct(F.col("loser").alias("i"), (-f).alias("f")))).alias("x")).groupBy("rater", F.col("x.i").alias("item_id")).agg(F.sum("x.f").alias("f"))
+    gap = F.coalesce("f", F.lit(0.0)) - scoring.ALPHA * F.col("n") * (F.col("w") - 1)
+    return _round(s.join(flow, ["rater", "item_id"], "left").groupBy("rater", "n").agg(F.max(F.abs(gap)).alias("residual")), "residual")
+
+
 @query()
 def davidson_scores(spark, d):
-    return _round(scoring.davidson(decided(spark, d).where("rater = 'human_1'"), items(spark, d)), "raw", "score", "tie_log")
+    return _round(scoring.davidson(decided(spark, d), items(spark, d)), "raw", "score", "tie_log")
 
 
 @query()
 def score_items(spark, d):
-    return _round(scoring.score_items(decided(spark, d, MODELS), items(spark, d)), "raw", "score", "se")
+    return _round(scoring.score_items(decided(spark, d), items(spark, d)), "raw", "score", "se")
 
 
 _STATS = "count(n_chars) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.5), 6) AS median, round(stddev_samp(n_chars), 6) AS std, CAST(min(n_chars) AS DOUBLE) AS min, CAST(max(n_chars) AS DOUBLE) AS max, round(quantile_cont(n_chars, 0.25), 6) AS q25, round(quantile_cont(n_chars, 0.75), 6) AS q75"
@@ -332,6 +386,11 @@ def cluster_mean(spark, d):
     return classify.classify(items(spark, d).drop("text"), method="mean")
 
 
+@query()
+def cluster_gmm(spark, d):
+    return classify.classify(items(spark, d).drop("text"), method="gmm", classes=2)
+
+
 @query()
 def cluster_kmeans(spark, d):
     return classify.classify(items(spark, d).drop("text"))
@@ -454,7 +513,39 @@ def ordinal_adjacent(spark, d):
     return _round(ordinal.candidate_pairs(ordinal.levels(table(spark, d, "supplier"), "s_suppkey", "s_nationkey"), "adjacent"), "level1", "level2")
 
 
-@query()
+@query("""WITH m AS (SELECT s_suppkey AS item, arg_max(s_nationkey, s_nationkey)::DOUBLE AS level FROM supplier WHERE s_nationkey IS NOT NULL GROUP BY 1)
+SELECT a.item AS item1, b.item AS item2, a.level AS level1, b.level AS level2 FROM m a JOIN m b ON round_even(a.level, 0) = round_even(b.level, 0) + 1""")
+def ordinal_adjacent_all(spark, d):
+    own = ordinal.levels(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
+    return ordinal.candidate_pairs(own, "adjacent", most=1_000_000)
+
+
+@query("""WITH m AS (SELECT s_suppkey AS item, max(s_nationkey)::DOUBLE AS level FROM supplier WHERE s_nationkey IS NOT NULL GROUP BY 1)
+SELECT a.item AS item1, b.item AS item2, a.level AS level1, b.level AS level2 FROM m a JOIN m b ON a.item < b.item AND abs(a.level - b.level) >= 20""")
+def ordinal_random_all(spark, d):
+    own = ordinal.levels(table(spark, d, "supplier"), "s_suppkey", "s_nationkey")
+    return ordinal.candidate_pairs(own, "random", 20, most=1_000_000)
+
+
+@query(f"""WITH {_LEVELS}, m AS (SELECT item, avg(level) AS level FROM own GROUP BY item), p AS (SELECT DISTINCT l_partkey AS item1, l_partkey + 1 AS item2 FROM lineitem)
+SELECT p.item1, p.item2, round(a.level, 6) AS level1, round(b.level, 6) AS level2 FROM p LEFT JOIN m a ON a.item = p.item1 LEFT JOIN m b ON b.item = p.item2""")
+def ordinal_provided(spark, d):
+    p = table(spark, d, "lineitem").select(F.col("l_partkey").alias("item1"), (F.col("l_partkey") + 1).alias("item2")).distinct()
+    return ordinal.candidate_pairs(_ratings(spark, d), "provided", provided=p).select("item1", "item2", F.round("level1", 6).alias("level1"), F.round("level2", 6).alias("level2"))
+
+
+def _prune_sql(rounds: int) -> str:
+    step = ""
+    for k in range(rounds):
+        step += f""", b{k} AS (SELECT * FROM p{k} WHERE rater IN (SELECT rater FROM p{k} GROUP BY rater HAVING count(*) >= 50)),
+p{k + 1} AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY item1, item2) AS c FROM b{k}) WHERE c >= 2)"""
+        step = step.replace(f"p{k + 1} AS (SELECT * FROM", f"p{k + 1} AS (SELECT item1, item2, rater, decision FROM")
+    return step
+
+
+@query(f"""WITH own AS (SELECT o_custkey AS item, o_orderstatus AS annotator, max(CAST(trunc(o_totalprice / 50000) AS INT))::DOUBLE AS level FROM orders GROUP BY 1, 2),
+p0 AS (SELECT a.item AS item1, b.item AS item2, a.annotator AS rater, CASE WHEN a.level > b.level THEN 'Text1' WHEN b.level > a.level THEN 'Text2' ELSE 'Tie' END AS decision
+       FROM own a JOIN own b ON b.item = a.item + 1 AND a.annotator = b.annotator){_prune_sql(6)} SELECT * FROM p6""")
 def ordinal_pruned(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("item"), F.col("o_orderstatus").alias("annotator"), (F.col("o_totalprice") / 50_000).cast("int").alias("level"))
     own = ordinal.levels(o, "item", "level", "annotator")
@@ -482,14 +573,62 @@ def pagerank(spark, d):
     return _round(graph.pagerank(_won(spark, d)), "pagerank")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY lang, doc_id % 50 ORDER BY doc_id) AS p FROM documents) x
+_WON_SQL = f"""{DECISIONS_SQL}, e AS (SELECT DISTINCT CASE decision WHEN 'Text1' THEN item1 ELSE item2 END AS src, CASE decision WHEN 'Text1' THEN item2 ELSE item1 END AS dst
+FROM decided WHERE rater = 'decision' AND decision IN ('Text1', 'Text2')), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
+
+
+def _pagerank_sql(rounds: int) -> str:
+    out = f"""WITH {_WON_SQL}, k AS (SELECT src, count(*) AS k FROM e GROUP BY src), n AS (SELECT count(*)::DOUBLE AS n FROM v), r0 AS MATERIALIZED (SELECT id, 1 / n AS r FROM v, n)"""
+    for i in range(rounds):
+        out += f""", g{i} AS MATERIALIZED (SELECT v.id, coalesce(x.got, 0) AS got FROM v LEFT JOIN (SELECT dst AS id, sum(r / k) AS got FROM e JOIN r{i} ON r{i}.id = e.src JOIN k ON k.src = e.src GROUP BY dst) x USING (id)),
+r{i + 1} AS MATERIALIZED (SELECT id, 0.15 / n + 0.85 * (got + (1 - (SELECT sum(got) FROM g{i})) / n) AS r FROM g{i}, n)"""
+    return out + f" SELECT id, round(r, 6) AS pagerank FROM r{rounds}"
+
+
+@query(_pagerank_sql(8))
+def pagerank_rounds(spark, d):
+    return _round(graph.pagerank(_won(spark, d), rounds=8, tol=0.0), "pagerank")
+
+
+def _eigenvector_sql(rounds: int) -> str:
+    out = f"WITH {_WON_SQL}, x0 AS MATERIALIZED (SELECT id, 1 / (SELECT count(*) FROM v)::DOUBLE AS x FROM v)"
+    for i in range(rounds):
+        out += f""", y{i} AS MATERIALIZED (SELECT a.id, a.x + coalesce(b.got, 0) AS y FROM x{i} a LEFT JOIN (SELECT dst AS id, sum(x) AS got FROM e JOIN x{i} ON x{i}.id = e.src GROUP BY dst) b USING (id)),
+x{i + 1} AS MATERIALIZED (SELECT id, y / (SELECT sqrt(sum(y * y)) FROM y{i}) AS x FROM y{i})"""
+    return out + f" SELECT id, round(x, 6) AS eigenvector FROM x{rounds}"
+
+
+@query(_eigenvector_sql(6))
+def eigenvector_rounds(spark, d):
+    return _round(graph.eigenvector(_won(spark, d), rounds=6, tol=0.0), "eigenvector")
+
+
+@query()
+def betweenness(spark, d):
+    p = pairing.pair_items(table(spark, d, "supplier"), 4, 42, "s_suppkey")
+    return _round(graph.betweenness(p.select(F.col("item1").alias("src"), F.col("item2").alias("dst"))), "betweenness")
+
+
+_CHAINS = """WITH RECURSIVE e AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, lag(doc_id) OVER (PARTITION BY lang, doc_id % 50 ORDER BY doc_id) AS p FROM documents) x
   JOIN documents a ON a.doc_id = x.doc_id JOIN documents b ON b.doc_id = x.p),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.c)
-SELECT id, min(c) AS component FROM r GROUP BY id""")
-def components(spark, d):
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS id, a AS c FROM u UNION SELECT r.id, u.b FROM r JOIN u ON u.a = r.c),
+c AS (SELECT id, min(c) AS component FROM r GROUP BY id)"""
+
+
+def _chains(spark, d):
     w = Window.partitionBy("lang", F.col("doc_id") % 50).orderBy("doc_id")
-    e = table(spark, d, "documents").select(F.col("doc_id").alias("item1"), F.lag("doc_id").over(w).alias("item2")).where("item2 is not null")
-    return graph.components(e)
+    return table(spark, d, "documents").select(F.col("doc_id").alias("item1"), F.lag("doc_id").over(w).alias("item2")).where("item2 is not null")
+
+
+@query(_CHAINS + " SELECT id, component FROM c")
+def components(spark, d):
+    return graph.components(_chains(spark, d))
+
+
+@query(_CHAINS + """, best AS (SELECT component FROM c GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)
+SELECT a AS item1, b AS item2 FROM e JOIN c ON c.id = e.a WHERE c.component = (SELECT component FROM best)""")
+def largest_component(spark, d):
+    return graph.largest_component(_chains(spark, d))
 
 
 # ---------------------------------------------------------------- costs and rewards
@@ -503,9 +642,13 @@ def token_cost(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(D.token_estimate(F.col("text"))).alias("tokens"))
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, t AS (SELECT count(*) AS n, sum(CAST(floor({_TOKENS} * 1.33) AS BIGINT)) AS t FROM documents), m AS (SELECT count(*) AS m FROM pairs),
+p AS (SELECT * FROM (VALUES ('gpt-4o-mini', 0.15::DOUBLE, 0.60::DOUBLE), ('gemini-2.5-flash-lite', 0.10::DOUBLE, 0.40::DOUBLE)) x(model, i, o)),
+r AS (SELECT model, i, o, 'breakdown' AS stage, CAST({int(len(judge.SYSTEM.split()) * 1.33)} * n + 3 * n + t AS BIGINT) AS tokens_in, CAST(200 * n AS BIGINT) AS tokens_out FROM p, t
+  UNION ALL SELECT model, i, o, 'pairwise', CAST({int(len(judge.SYSTEM.split()) * 1.33)} * m + 100 * m + 400 * m AS BIGINT), CAST(50 * m AS BIGINT) FROM p, m)
+SELECT model, stage, tokens_in, tokens_out, round((tokens_in * i + tokens_out * o) / 1e6, 6) AS cost FROM r""")
 def cost_estimate(spark, d):
-    return costs.estimate(items(spark, d), pairs(spark, d), ["gpt-4o-mini", "gemini-2.5-flash-lite"], ["What is {text}?"])
+    return _round(costs.estimate(items(spark, d), pairs(spark, d), ["gpt-4o-mini", "gemini-2.5-flash-lite"], ["What is {text}?"]), "cost")
 
 
 @query(f"""WITH {DECISIONS_SQL}, t AS (SELECT doc_id, max(n_chars) AS n, max(text) AS text FROM documents GROUP BY doc_id)
