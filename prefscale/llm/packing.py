@@ -6,8 +6,10 @@ to the driver, which replays best fit by runs of equal lengths. A segment tree o
 tightest open bin in logarithmic time. The plan (runs of bins by length) is joined back to the ranked pieces, so that
 no task ever holds all documents.
 
-A null or empty text is one piece of the end id alone. Repeated rows are packed each for itself; equal lengths are
-placed in order of (doc_id, piece, crc); an empty table gives an empty result.
+Cases. A null or empty text is one piece of the end id alone. Repeated rows, and rows with a null or shared doc_id, are
+packed each for itself; equal lengths are placed in order of (doc_id, piece, crc), and which of rows that are equal in
+these comes first doesn't matter. Texts may be of any length and are encoded whole, in one task each. Other columns are
+not read, nor returned. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it, those not seen for longest go.
 CACHE_WORDS = 600_000
+#: Runs of the plan that are broadcast, of 48 bytes each.
+BROADCAST_RUNS = 1_000_000
 
 _GAPLESS = np.ones(256, bool)
 _GAPLESS[[0x20, 0x0A]] = False
@@ -228,11 +232,13 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         .join(starts, ["length", "_part"])
         .withColumn("_rank", F.col("_before") + F.col("_k") - 1)
     )
-    # At most a run for each pair of a length and a remaining capacity, however many pieces there are.
+    # At most a run for each pair of a length and a remaining capacity, however many pieces there are; a plan that is not
+    # small is joined by the length instead of being sent to all.
+    small = len(runs) <= BROADCAST_RUNS
     plan = spark.createDataFrame(runs, "_length long, _first long, _pieces long, _bin long, _per long, _offset long")
     on = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_pieces"))
     k = F.col("_rank") - F.col("_first")
-    return ranked.join(F.broadcast(plan), on).select(
+    return ranked.join(F.broadcast(plan) if small else plan, on).select(
         *lengths.columns,
         (F.col("_bin") + F.floor(k / F.col("_per"))).cast("long").alias("sequence_id"),
         (F.col("_offset") + (k % F.col("_per")) * F.col("length")).cast("long").alias("offset"),

@@ -9,7 +9,10 @@ matches (split) and of the matches (regexp_extract_all), both found by the same
 with possessive repeats and a look at the character before, which take linear time, never recurse on long runs and
 match the same spans.
 
-A null text counts as empty; rows are judged each for itself, repeated or not; an empty table gives no rows.
+Cases. A null text counts as empty for ``find`` and stays null in ``redact``. Rows are judged each for itself, repeated
+or not, with an id or without. Spans that start at the same place come in the order of kinds. Texts may be of any length
+and are read whole. Other columns pass; ``find`` replaces one with the name of its result, ``redact`` the text alone. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 _LOCAL = "A-Za-z0-9._%+-"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -157,10 +162,14 @@ def _alone(kind: str, text: Column, base: Column, threshold: float):
 
 def find(docs: DataFrame, column: str = "text", threshold: float = THRESHOLD, into: str = "pii") -> DataFrame:
     """docs with array<struct<start, kind_no, end, kind, score>> of all spans, by start and then kind."""
-    names = {k: f"__{into}_{k}" for k in KINDS}
-    text = F.coalesce(F.col(column), F.lit(""))
-    out = docs.withColumn(f"__{into}_text", text)
-    text = F.col(f"__{into}_text")
+    kept = [c for c in docs.columns if c.lower() != into.lower()]
+    docs = docs.select(*kept)
+    stem = "_pii"
+    while any(c.lower().startswith(stem) for c in kept):
+        stem += "_"
+    names = {k: f"{stem}_{k}" for k in KINDS}
+    out = docs.withColumn(f"{stem}_text", F.coalesce(F.col(column), F.lit("")))
+    text = F.col(f"{stem}_text")
     none = F.array().cast("array<string>")
     for k, (pattern, hint) in PATTERNS.items():
         may = F.contains(text, F.lit(hint)) if hint == "@" else text.rlike(hint)
@@ -186,7 +195,7 @@ def _joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, column: str = "text", **options) -> DataFrame:
     """docs with each span of the text, overlapping spans as one, replaced by its kind in brackets."""
-    into = "__found"
+    into = free_name(docs, "_found")
     out = find(docs, column, into=into, **options)
     spans, text = F.col(into), F.col(column)
 

@@ -14,7 +14,7 @@ doc_id; all features that are significant in that sample are kept.
 
 Cases. A null or empty text has no evidence and gets the score of such. A null doc_id is not held out, has no label, and
 its row is scored. Repeated rows, and rows that share a doc_id, are judged each for itself; a doc_id with several labels
-is toxic if one says so, and is learned from once. Without labels every score is 0. Texts may be of any length and are
+is toxic if one says so, and is learned from once. Without labels of both kinds every score is 0. Texts may be of any length and are
 read whole. Readings of equal likelihood: the first of the lattice. Other columns pass unread; one with the name of the
 score is replaced by ``judged`` and passes in ``without_toxic``. An empty table gives no rows.
 """
@@ -297,7 +297,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_grams:
     empty = Model(chars, np.zeros(0, np.uint64), np.zeros(0))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1:
+    if not n1 or not n0:
         empty.slope = 0.0
         return empty
     shared = spark.sparkContext.broadcast(empty)
