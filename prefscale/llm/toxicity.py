@@ -373,8 +373,11 @@ def judged(docs: DataFrame, model: Model, into: str = "toxicity") -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """docs without those whose score reaches the threshold. A text without evidence stays, whatever the share of toxic
+    rows among the labels."""
     name = C.free_name(docs, "_toxicity")
-    return judged(docs, model, name).where(F.col(name) < threshold).drop(name)
+    bare = float(model.score(pa.array([""]))[0])
+    return judged(docs, model, name).where((F.col(name) < threshold) | (F.col(name) <= bare)).drop(name)
 
 
 def held_out():
