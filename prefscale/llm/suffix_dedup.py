@@ -5,7 +5,9 @@ earlier in the same one. Strings are judged on the input, overlaps count, and no
 
 1. Winnowing finds where such strings can be: of every ``length`` bytes the smallest hash of ``length - 68`` bytes marks
    an anchor, so that equal strings hold equal anchors. An anchor's context is all that any such string around it can
-   cover. Anchors are sorted by hash and context; of equal contexts all but the first are repeats as a whole.
+   cover. Anchors are sorted by hash and context; of equal contexts all but the first are repeats as a whole. A task
+   that finds anchors remembers contexts in a table of fixed size, so that of a very common context it sends on only
+   what may still be the first; the rest are known repeats, which are dealt evenly.
 2. Distinct contexts of equal anchors may still share strings. They are cut out of the documents and meet by anchor.
    There they are dealt into shards. Each shard sorts the suffixes that start at its anchors, which gives its part of a
    Burrows-Wheeler transform: the preceding bytes in that order. The shards are merged, and the interleave is refined
@@ -41,6 +43,8 @@ LENGTH = 100
 ANCHOR = 32
 #: Bytes of contexts that are merged at once, unless one anchor has more.
 MERGE_BYTES = 4 << 20
+#: Contexts that a task remembers while it looks for anchors.
+REMEMBERED = 1 << 16
 SHARDS = 4
 
 
@@ -75,10 +79,38 @@ def anchors(buf: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.n
     return chosen, h[chosen], context
 
 
+class Remembered:
+    """The least (doc_id, at) of contexts met so far. A context that meets another in its slot takes its place, so that
+    some repeats stay unknown here, and none is wrong."""
+
+    def __init__(self, slots: int):
+        self.rows = np.zeros((4, slots), np.int64)
+        self.used = np.zeros(slots, bool)
+
+    def repeats(self, fp: np.ndarray, ctx: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which rows have an equal context before them, in this call or a former one."""
+        order = np.lexsort((at, doc, ctx, fp))
+        rows = np.stack([fp, ctx, doc, at])[:, order]
+        new = np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(0)))
+        head, group = np.flatnonzero(new), np.cumsum(new) - 1
+        first = rows[:, head]
+        slot = first[1] & (len(self.used) - 1)
+        known = self.rows[:, slot]
+        same = self.used[slot] & (known[:2] == first[:2]).all(0)
+        later = same & ((first[2] > known[2]) | ((first[2] == known[2]) & (first[3] > known[3])))
+        put, at_ = np.unique(slot[~later], return_index=True)
+        self.rows[:, put] = first[:, ~later][:, at_]
+        self.used[put] = True
+        out = np.zeros(len(fp), bool)
+        out[order] = later[group] | (rows[2:] != first[2:, group]).any(0)
+        return out
+
+
 def _marked(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(fp, ctx, doc_id, at): at holds the row's hash and the position."""
+    """(fp, ctx, doc_id, at): at holds the row's hash and the position; fp is null where the context is a known repeat."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Remembered(REMEMBERED)
         for batch in batches:
             for part in C.slices(batch, "text"):
                 buf, off = C.buffer_of(part.column("text"))
@@ -90,16 +122,22 @@ def _marked(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                         for col, v in zip(out, (fp.view(np.int64), ctx.view(np.int64), np.full(len(pos), ids[r]), (np.int64(x[r]) << np.int64(32)) | pos)):
                             col.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["fp", "ctx", "doc_id", "at"])
+                    cols = [np.concatenate(c) for c in out]
+                    again = seen.repeats(*cols)
+                    cols[1][again] = 0
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], mask=again), *map(pa.array, cols[1:])], names=["fp", "ctx", "doc_id", "at"])
 
     return docs.select("doc_id", "text", "x").mapInArrow(mark, "fp long, ctx long, doc_id long, at long")
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of anchors sorted by (fp, ctx, doc_id, at): all but the first of a context (fp null); and the first of each
-    context where an anchor has several. Memory holds a batch and one row."""
+    """Of anchors sorted by (fp, ctx, doc_id, at): all but the first of a context (fp null, as known repeats come in);
+    and the first of each context where an anchor has several. Memory holds a batch and one row."""
     carry, pending = None, False  # first row of the last context; whether it is the only one of its anchor so far
     for batch in batches:
+        if batch.column("fp").null_count:
+            yield batch.filter(batch.column("fp").is_null()).select(["fp", "doc_id", "at"])
+            batch = batch.filter(batch.column("fp").is_valid())
         if not batch.num_rows:
             continue
         cols = [c.to_numpy() for c in batch.columns]
@@ -247,7 +285,7 @@ def _covered(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, Data
     """(docs dealt by doc_id, their covered ranges (doc_id, ranges))."""
     left = length - anchor
     own = docs.select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.hash("text").alias("x"))
-    marks = _marked(own, length, anchor).repartition("fp").sortWithinPartitions("fp", "ctx", "doc_id", "at")
+    marks = _marked(own, length, anchor).repartition(F.coalesce("fp", "at")).sortWithinPartitions("fp", "ctx", "doc_id", "at")
     marks = C.staged(marks.mapInArrow(_repeats, "fp long, doc_id long, at long"), "suffix-anchors")
     dealt = own.repartition(C.partitions(docs.sparkSession), "doc_id")
     probes = marks.where("fp is not null").groupBy("doc_id").agg(F.collect_list(F.struct("at", "fp")).alias("probes"))

@@ -43,9 +43,10 @@ def corpus(seed, n=120):
     return list(zip(ids, out))
 
 
-@pytest.mark.parametrize("seed,merge", [(1, 1 << 22), (2, 2_000), (3, 1)])
-def test_digest_is_brute_force(spark, monkeypatch, seed, merge):
+@pytest.mark.parametrize("seed,merge,slots", [(1, 1 << 22, 1 << 16), (2, 2_000, 64), (3, 1, 1)])
+def test_digest_is_brute_force(spark, monkeypatch, seed, merge, slots):
     monkeypatch.setattr(S, "MERGE_BYTES", merge)
+    monkeypatch.setattr(S, "REMEMBERED", slots)
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_bytes int")
     assert sorted(map(tuple, S.digest(df).collect())) == brute(docs)
@@ -86,13 +87,33 @@ def test_sorted_stream_in_any_batches():
         for ctx in kinds:
             own = [x[2:] for x in rows if x[:2] == (fp, ctx)]
             want.update([(None, *x) for x in own[1:] if x != own[0]] + [(fp, *own[0])] * (len(kinds) > 1))
-    for step in (1, 2, 3, 7, 50, 200):
-        cols = [[x[k] for x in rows] for k in range(4)]
-        it = (pa.RecordBatch.from_arrays([pa.array(c[a : a + step], pa.int64()) for c in cols], names=["fp", "ctx", "doc_id", "at"]) for a in range(0, 200, step))
+    known = [(None, 0, 7, k) for k in range(5)]
+    want.update((None, 7, k) for k in range(5))
+    for step in (1, 2, 3, 7, 50, 205):
+        cols = [[x[k] for x in known + rows] for k in range(4)]
+        it = (pa.RecordBatch.from_arrays([pa.array(c[a : a + step], pa.int64()) for c in cols], names=["fp", "ctx", "doc_id", "at"]) for a in range(0, 205, step))
         got = [tuple(x.values()) for b in S._repeats(it) for x in b.to_pylist()]
         assert Counter(got) == want
 
 
+@pytest.mark.parametrize("slots", [1, 8, 1 << 10])
+def test_remembered_contexts_are_repeats_and_the_first_stays(slots):
+    r = np.random.default_rng(slots)
+    seen, rows, told, all_known = S.Remembered(slots), [], [], []
+    least: dict[tuple, list] = {}
+    for _ in range(30):
+        part = r.integers(0, [3, 4, 30, 5], (40, 4))
+        part[:, 1] += 4 * part[:, 0]  # with slots enough, each context has its own
+        rows += map(tuple, part.tolist())
+        told += seen.repeats(*part.T).tolist()
+        for f, c, *place in part.tolist():
+            least[f, c] = min(least.get((f, c), place), place)
+        all_known += [place > least[f, c] for f, c, *place in part.tolist()]
+    if slots > 8:
+        assert told == all_known
+    assert all(place > least[f, c] for (f, c, *place), again in zip(rows, told) if again)
+
+
 def test_repeated_rows_and_empty(spark):
     t = "".join(chr(97 + i % 23) + str(i) for i in range(200))
     df = spark.createDataFrame([(1, t), (1, t), (1, "z" + t[::-1]), (2, t)], "doc_id long, text string")
