@@ -16,6 +16,9 @@ earlier in the same one. Strings are judged on the input, overlaps count, and no
    those between them before. Intervals of common prefixes of ``length`` bytes are the repeated strings. After the
    shards' own, no suffix is sorted again. Every string that matters starts at an anchor or at most 68 bytes before, so
    that many refinements are enough, and one suffix of a context takes part in each.
+   Where an anchor has more than 4096 distinct contexts, every 4096 of them are merged by a task of their own. Of the
+   strings of each such part, the first ones meet those of the anchor's other parts by a 64-bit hash, so that no task
+   holds all contexts of an anchor.
    Contexts that are equal as a whole don't take part; they are told by two 64-bit hashes, of the anchor and of the whole
    context, without a look at the bytes. The first interleave is a sorted merge of the shards' suffixes.
 3. Covered ranges of each document are united and cut.
@@ -41,8 +44,10 @@ from . import common as C
 
 LENGTH = 100
 ANCHOR = 32
-#: Bytes of contexts that are merged at once, unless one anchor has more.
+#: Bytes of contexts that are merged at once, unless one part of an anchor has more.
 MERGE_BYTES = 4 << 20
+#: Distinct contexts of an anchor that are merged in one task.
+KINDS = 1 << 12
 #: Contexts that a task remembers while it looks for anchors.
 REMEMBERED = 1 << 16
 SHARDS = 4
@@ -130,13 +135,16 @@ def _marked(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return docs.select("doc_id", "text", "x").mapInArrow(mark, "fp long, ctx long, doc_id long, at long")
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(batches: Iterator[pa.RecordBatch], kinds_: int) -> Iterator[pa.RecordBatch]:
     """Of anchors sorted by (fp, ctx, doc_id, at): all but the first of a context (fp null, as known repeats come in);
-    and the first of each context where an anchor has several. Memory holds a batch and one row."""
+    and the first of each context where an anchor has several, with the number of its part of ``kinds_`` contexts.
+    Memory holds a batch and one row."""
     carry, pending = None, False  # first row of the last context; whether it is the only one of its anchor so far
+    place = 0  # of that context among those of its anchor
     for batch in batches:
         if batch.column("fp").null_count:
-            yield batch.filter(batch.column("fp").is_null()).select(["fp", "doc_id", "at"])
+            known = batch.filter(batch.column("fp").is_null())
+            yield pa.RecordBatch.from_arrays([known.column("fp"), known.column("ctx"), known.column("doc_id"), known.column("at")], names=["fp", "part", "doc_id", "at"])
             batch = batch.filter(batch.column("fp").is_valid())
         if not batch.num_rows:
             continue
@@ -156,11 +164,18 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = new_c & (kinds[group] > 1)
         if had and not pending:
             probe[0] = False
+        nth = np.cumsum(new_c) - 1
+        nth -= nth[np.flatnonzero(new_f)][group]
+        if had:
+            nth[group == 0] += place
         last = int(head[-1])
         out_fp = np.concatenate([np.zeros(int(again.sum()), np.int64), fp[probe]])
         null = np.concatenate([np.ones(int(again.sum()), bool), np.zeros(int(probe.sum()), bool)])
-        yield pa.RecordBatch.from_pydict({"fp": pa.array(out_fp, mask=null), "doc_id": pa.array(np.concatenate([doc[again], doc[probe]])), "at": pa.array(np.concatenate([at[again], at[probe]]))})
-        carry, pending = [c[last] for c in cols], bool(kinds[group[-1]] == 1)
+        out = {"fp": pa.array(out_fp, mask=null)}
+        for name, v in (("part", nth // kinds_), ("doc_id", doc), ("at", at)):
+            out[name] = pa.array(np.concatenate([v[again], v[probe]]))
+        yield pa.RecordBatch.from_pydict(out)
+        carry, pending, place = [c[last] for c in cols], bool(kinds[group[-1]] == 1), int(nth[last])
 
 
 # ---------------------------------------------------------------- Burrows-Wheeler transforms
@@ -206,9 +221,9 @@ def refine(order: np.ndarray, lcp: np.ndarray, before: np.ndarray) -> tuple[np.n
     return order[at], new
 
 
-def repeated(contexts: list[bytes], left: list[int], keys: list[tuple[int, int]], depth: int, anchor: int, shards: int = SHARDS) -> list[list[tuple[int, int]]]:
+def repeated(contexts: list[bytes], left: list[int], keys: list[tuple[int, int]], depth: int, anchor: int, shards: int = SHARDS) -> np.ndarray:
     """For each context, whose anchor follows ``left`` bytes and whose first byte stands at keys = (document, position):
-    ranges [lo, hi) of it that lie in strings of ``depth`` bytes around the anchor which start earlier elsewhere."""
+    whether the string of ``depth`` bytes that starts t bytes before the anchor starts earlier elsewhere, t in columns."""
     n = len(contexts)
     length, left_ = np.array([len(c) for c in contexts]), np.array(left)
     doc, at = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
@@ -245,39 +260,74 @@ def repeated(contexts: list[bytes], left: list[int], keys: list[tuple[int, int]]
             q = left_[order] - t - 1
             before = np.where(q >= 0, buf[start[order] + np.maximum(q, 0)].astype(np.int16), np.int16(-1))
             order, lcp = refine(order, lcp, before)
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    i, t = np.nonzero(gone[:, ::-1])
-    for c, q in zip(i.tolist(), (left_[i] - (depth - anchor) + t).tolist()):
-        own = out[c]
-        if own and own[-1][1] >= q:
-            own[-1] = (own[-1][0], q + depth)
-        else:
-            own.append((q, q + depth))
-    return out
+    return gone
 
 
-def _merged(batches: Iterator[pa.RecordBatch], length: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Covered ranges from contexts (fp, doc_id, at, left, ctx) sorted by fp; at is that of the context's first byte."""
-    held: list[tuple[int, int, int, int, bytes]] = []
+def _merged(batches: Iterator[pa.RecordBatch], length: int, anchor: int, kinds: int) -> Iterator[pa.RecordBatch]:
+    """From contexts (fp, part, doc_id, at, left, ctx) sorted by (fp, part), at being that of the context's first byte:
+    covered ranges (h null), and of anchors of several parts the strings that are first in theirs, h being their hash."""
+    held: list[tuple[int, int, int, int, int, bytes]] = []
 
     def out() -> pa.RecordBatch:
-        got = repeated([r[4] for r in held], [r[3] for r in held], [(r[1], r[2]) for r in held], length, anchor)
-        rows = [(r[1], (r[2] >> 32) << 32 | ((r[2] & 0xFFFFFFFF) + lo), (r[2] & 0xFFFFFFFF) + hi) for r, own in zip(held, got) for lo, hi in own]
+        fp, part, doc, at, left = (np.array([r[k] for r in held], np.int64) for k in range(5))
+        texts = [r[5] for r in held]
+        gone = repeated(texts, left, list(zip(doc, at)), length, anchor)
+        # ranges of neighbouring strings become one
+        edge = np.diff(np.pad(gone[:, ::-1], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (i, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        first = left[i] - (length - anchor)
+        cols = [[doc[i]], [at[i] + first + lo], [(at[i] & 0xFFFFFFFF) + first + hi - 1 + length]]
+        h = [np.zeros(len(i), np.int64)]
+        _, part_of, many = np.unique(np.stack([fp, part]), axis=1, return_inverse=True, return_counts=True)
+        open_ = np.flatnonzero((part > 0) | (many[part_of.ravel()] >= kinds))
+        if len(open_):
+            size = np.array([len(x) for x in texts])
+            start = np.cumsum(size) - size
+            prefix = C.prefix_hash(np.frombuffer(b"".join(texts), np.uint8))
+            i, t = np.nonzero(~gone[open_])
+            i = open_[i]
+            q = left[i] - t
+            ok = (q >= 0) & (q + length <= size[i])
+            i, q = i[ok], q[ok]
+            h.append(C.span_hash(prefix, start[i] + q, start[i] + q + length).view(np.int64))
+            for col, v in zip(cols, (doc[i], at[i] + q, (at[i] & 0xFFFFFFFF) + q + length)):
+                col.append(v)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc_id", "at", "to"])
+        known = np.arange(sum(map(len, h))) < len(h[0])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h), mask=known), *(pa.array(np.concatenate(c)) for c in cols)], names=["h", "doc_id", "at", "to"])
 
     size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[0] != held[-1][0] and size >= MERGE_BYTES:
+            if held and row[:2] != held[-1][:2] and size >= MERGE_BYTES:
                 yield out()
                 size = 0
             held.append(row)
-            size += len(row[4])
+            size += len(row[5])
     if held:
         yield out()
 
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (h, doc_id, at, to) sorted by (h, doc_id, at): those without h, and all but the first of each h. Memory
+    holds a batch and one row."""
+    carry = None
+    for batch in batches:
+        yield batch.filter(batch.column("h").is_null()).select(["doc_id", "at", "to"])
+        batch = batch.filter(batch.column("h").is_valid())
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        if carry is not None:
+            cols = [np.concatenate([[v], c]) for v, c in zip(carry, cols)]
+        h, doc, at, to = cols
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        again = (doc != doc[head]) | (at != at[head])
+        yield pa.RecordBatch.from_arrays([pa.array(v[again]) for v in (doc, at, to)], names=["doc_id", "at", "to"])
+        carry = [c[head[-1]] for c in cols]
+
+
 # ---------------------------------------------------------------- operator
 
 
@@ -286,27 +336,29 @@ def _covered(docs: DataFrame, length: int, anchor: int) -> tuple[DataFrame, Data
     left = length - anchor
     own = docs.select(F.col("doc_id").alias("id"), F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text", F.hash("text").alias("x"))
     marks = _marked(own, length, anchor).repartition(F.coalesce("fp", "at")).sortWithinPartitions("fp", "ctx", "doc_id", "at")
-    marks = C.staged(marks.mapInArrow(_repeats, "fp long, doc_id long, at long"), "suffix-anchors")
+    kinds = KINDS
+    marks = C.staged(marks.mapInArrow(lambda it: _repeats(it, kinds), "fp long, part long, doc_id long, at long"), "suffix-anchors")
     dealt = own.repartition(C.partitions(docs.sparkSession), "doc_id")
-    probes = marks.where("fp is not null").groupBy("doc_id").agg(F.collect_list(F.struct("at", "fp")).alias("probes"))
+    probes = marks.where("fp is not null").groupBy("doc_id").agg(F.collect_list(F.struct("at", "fp", "part")).alias("probes"))
 
     def cut(batches):
         for batch in batches:
             for part in C.slices(batch, "text"):
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[], [], [], [], [], []]
                 raw = part.column("text").cast(pa.binary()).to_pylist() if part.num_rows else []
                 for doc, text, x, probes_ in zip(part.column("doc_id").to_pylist(), raw, part.column("x").to_pylist(), part.column("probes").to_pylist()):
                     for q in probes_:
                         at, pos = q["at"], q["at"] & 0xFFFFFFFF
                         if at >> 32 == x:
                             lo = max(0, pos - left)
-                            for col, v in zip(out, (q["fp"], doc, at - pos + lo, pos - lo, text[lo : pos + length])):
+                            for col, v in zip(out, (q["fp"], q["part"], doc, at - pos + lo, pos - lo, text[lo : pos + length])):
                                 col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["fp", "doc_id", "at", "left", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["fp", "part", "doc_id", "at", "left", "ctx"])
 
-    contexts = dealt.drop("id").join(probes, "doc_id").mapInArrow(cut, "fp long, doc_id long, at long, left int, ctx binary")
-    contexts = contexts.repartition("fp").sortWithinPartitions("fp", "doc_id", "at")
-    merged = contexts.mapInArrow(lambda it: _merged(it, length, anchor), "doc_id long, at long, to long")
+    contexts = dealt.drop("id").join(probes, "doc_id").mapInArrow(cut, "fp long, part long, doc_id long, at long, left int, ctx binary")
+    contexts = contexts.repartition("fp", "part").sortWithinPartitions("fp", "part", "doc_id", "at")
+    merged = contexts.mapInArrow(lambda it: _merged(it, length, anchor, kinds), "h long, doc_id long, at long, to long")
+    merged = merged.repartition(F.coalesce("h", "at")).sortWithinPartitions("h", "doc_id", "at").mapInArrow(_across, "doc_id long, at long, to long")
     pos = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
     whole = marks.where("fp is null").select("doc_id", (F.col("at") - F.least(pos, F.lit(left))).alias("at"), (pos + length).alias("to"))
     both = merged.union(whole).groupBy("doc_id").agg(F.collect_list(F.struct("at", "to")).alias("ranges"))

@@ -43,9 +43,10 @@ def corpus(seed, n=120):
     return list(zip(ids, out))
 
 
-@pytest.mark.parametrize("seed,merge,slots", [(1, 1 << 22, 1 << 16), (2, 2_000, 64), (3, 1, 1)])
-def test_digest_is_brute_force(spark, monkeypatch, seed, merge, slots):
+@pytest.mark.parametrize("seed,merge,slots,kinds", [(1, 1 << 22, 1 << 16, 1 << 12), (2, 2_000, 64, 3), (3, 1, 1, 1), (7, 1, 1 << 16, 2)])
+def test_digest_is_brute_force(spark, monkeypatch, seed, merge, slots, kinds):
     monkeypatch.setattr(S, "MERGE_BYTES", merge)
+    monkeypatch.setattr(S, "KINDS", kinds)
     monkeypatch.setattr(S, "REMEMBERED", slots)
     docs = corpus(seed)
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, n_bytes int")
@@ -86,13 +87,14 @@ def test_sorted_stream_in_any_batches():
         kinds = sorted({x[1] for x in rows if x[0] == fp})
         for ctx in kinds:
             own = [x[2:] for x in rows if x[:2] == (fp, ctx)]
-            want.update([(None, *x) for x in own[1:] if x != own[0]] + [(fp, *own[0])] * (len(kinds) > 1))
+            part = kinds.index(ctx) // 3
+            want.update([(None, part, *x) for x in own[1:] if x != own[0]] + [(fp, part, *own[0])] * (len(kinds) > 1))
     known = [(None, 0, 7, k) for k in range(5)]
-    want.update((None, 7, k) for k in range(5))
+    want.update((None, 0, 7, k) for k in range(5))
     for step in (1, 2, 3, 7, 50, 205):
         cols = [[x[k] for x in known + rows] for k in range(4)]
         it = (pa.RecordBatch.from_arrays([pa.array(c[a : a + step], pa.int64()) for c in cols], names=["fp", "ctx", "doc_id", "at"]) for a in range(0, 205, step))
-        got = [tuple(x.values()) for b in S._repeats(it) for x in b.to_pylist()]
+        got = [tuple(x.values()) for b in S._repeats(it, 3) for x in b.to_pylist()]
         assert Counter(got) == want
 
 
@@ -114,6 +116,20 @@ def test_remembered_contexts_are_repeats_and_the_first_stays(slots):
     assert all(place > least[f, c] for (f, c, *place), again in zip(rows, told) if again)
 
 
+def test_parts_of_an_anchor_meet_in_any_batches():
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    rows = [(None, 5, k, k + 100) for k in range(4)] + sorted((*map(int, x), int(x[2]) + 100) for x in r.integers(0, 6, (150, 3)))
+    least = {}
+    for h, *place in rows:
+        least.setdefault(h, place)
+    want = Counter(tuple(x) for h, *x in rows if h is None or x[:2] != least[h][:2])
+    for step in (1, 2, 9, 154):
+        it = (pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows[a : a + step]], pa.int64()) for k in range(4)], names=["h", "doc_id", "at", "to"]) for a in range(0, 154, step))
+        assert Counter(tuple(x.values()) for b in S._across(it) for x in b.to_pylist()) == want
+
+
 def test_repeated_rows_and_empty(spark):
     t = "".join(chr(97 + i % 23) + str(i) for i in range(200))
     df = spark.createDataFrame([(1, t), (1, t), (1, "z" + t[::-1]), (2, t)], "doc_id long, text string")
