@@ -495,8 +495,7 @@ def ordinal_levels(spark, d):
 @query(f"""WITH {_LEVELS} SELECT CAST(a.annotator AS VARCHAR) AS rater, count(*) AS n, count(*) FILTER (a.level > b.level) AS first, count(*) FILTER (a.level < b.level) AS second, count(*) FILTER (a.level = b.level) AS ties
 FROM own a JOIN own b ON a.annotator = b.annotator AND a.item < b.item GROUP BY 1""")
 def ordinal_decisions(spark, d):
-    own = _ratings(spark, d)
-    x = ordinal.decisions(ordinal.shared_pairs(own), own)
+    x = ordinal.decisions(None, _ratings(spark, d))
     return x.groupBy("rater").agg(F.count("*").alias("n"), *(F.count_if(F.col("decision") == v).alias(k) for k, v in (("first", "Text1"), ("second", "Text2"), ("ties", "Tie"))))
 
 

@@ -527,3 +527,11 @@ def test_a_cap_above_the_number_of_items_asks_for_no_scan(spark, monkeypatch):
     own = ordinal.levels(spark.range(6).select("id", (F.col("id") % 2).alias("v")), "id", "v")
     assert ordinal.candidate_pairs(own, "adjacent", most=6).count() == 9
     assert ordinal.candidate_pairs(own, "random", 1, most=6).count() == 9
+
+
+def test_decisions_on_all_pairs_are_those_on_shared_pairs(spark):
+    r = random.Random(3)
+    own = spark.createDataFrame([(i, a, float(r.randint(1, 4))) for i in range(15) for a in "uvw" if r.random() < 0.6] + [(99, None, 1.0)], "item long, annotator string, level double")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(ordinal.decisions(None, own)) == rows(ordinal.decisions(ordinal.shared_pairs(own), own))
+    assert "Aggregate" not in ordinal.decisions(None, own)._jdf.queryExecution().optimizedPlan().toString()
