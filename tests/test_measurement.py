@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from prefscale.functions import decisions as D
 from prefscale.functions import distributions as P
 from prefscale.operators import agreement, alt_test, annotations, bt_alt_test, classify, costs, dawid_skene, graph, judge, ordinal, pairing, reward, scoring
+from prefscale.plans import registry
 from prefscale.plans.session import Measurement, build
 from prefscale.sources import tables
 from prefscale.streaming import decisions as stream
@@ -563,6 +564,13 @@ def test_shared_pairs_are_whole_and_neither_shuffled_nor_stored(spark, monkeypat
     assert ordinal.shared_pairs(own.where("annotator is null")).isEmpty()
 
 
+def test_half_up_is_round(spark):
+    r = random.Random(1)
+    v = [k / 2 for k in range(60)] + [np.nextafter(k / 2, d) for k in range(1, 60) for d in (0, 99)] + [r.uniform(0, 50) for _ in range(500)] + [1e300, math.inf, math.nan]
+    x = spark.createDataFrame([(float(y),) for y in v], "x double")
+    assert x.select(registry._half_up(F.col("x")).alias("x")).exceptAll(x.select(F.round("x"))).isEmpty()
+
+
 def test_davidson_takes_raters_of_more_pairs_than_joins_begin_at(spark, monkeypatch):
     """Beyond so many pairs, it was an error."""
     d, items = long(spark, raters(spark)), spark.range(12).select(F.concat(F.lit("i"), "id").alias("item_id"))
