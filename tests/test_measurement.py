@@ -661,3 +661,37 @@ def test_davidson_counts_pairs_that_are_judged_often(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_bt_alt_test_scores_each_rater_on_its_own_items(spark):
+    """Of a rater whose pairs fall apart only the largest part is scored, in one pass for all raters; before, each rater
+    took searches for components of its own."""
+    r = random.Random(8)
+    score = [r.gauss(0, 2) for _ in range(50)]
+
+    def judged(h: str, pairs: list) -> list:
+        return [(0, f"i{a:02}", f"i{b:02}", h, "Tie" if r.random() < 0.2 else "Text1" if score[a] + r.gauss(0, 1) > score[b] else "Text2") for a, b in pairs]
+
+    near = [(a, b) for a in range(50) for b in range(a + 1, min(a + 6, 50))]
+    apart = [(a, b) for a, b in near if (a < 20) == (b < 20)]
+    rows = judged("h1", near) + judged("h2", apart) + judged("h3", near) + [(0, "i01", "i02", "other", "Text1")]
+    got = bt_alt_test.rater_scores(long(spark, rows), ["h1", "h2", "h3"]).collect()
+    own = {h: {x.item_id for x in got if x.rater == h} for h in ("h1", "h2", "h3")}
+    assert len(got) == 130 and len(own["h1"]) == len(own["h3"]) == 50 and own["h2"] == {f"i{k}" for k in range(20, 50)}
+    alone = scoring.score_items(long(spark, [x for x in rows if x[3] == "h2" and x[1] >= "i20"]), spark.createDataFrame([(x,) for x in sorted(own["h2"])], "item_id string"), scale=None)
+    want = {x.item_id: x.raw for x in alone.collect()}
+    assert all(abs(want[x.item_id] - x.raw) < 1e-6 for x in got if x.rater == "h2")
+    few = [x for x in rows if x[3] != "h2" or x[1] < "i10" or x[1] > "i45"]
+    with pytest.raises(ValueError, match="h2 fall apart"):
+        bt_alt_test.rater_scores(long(spark, few), ["h1", "h2", "h3"])
+
+
+def test_ranks_of_a_rater_are_taken_once(monkeypatch):
+    """Before, both columns were ranked anew for each pair of raters, in either order."""
+    taken, ranks = [], bt_alt_test.P.average_ranks
+    monkeypatch.setattr(bt_alt_test.P, "average_ranks", lambda x: taken.append(1) or ranks(x))
+    wide = np.random.default_rng(3).normal(size=(40, 5))
+    lh, hh = bt_alt_test._pivots(wide, 4, "spearman", 10)
+    assert len(taken) == 5 and len(lh) == len(hh) == 4
+    want = [np.mean([bt_alt_test.P.correlation(wide[:, i], wide[:, j], "spearman") for j in range(4) if j != i]) for i in range(4)]
+    assert np.allclose(hh, want, atol=1e-12)
